@@ -20,7 +20,8 @@ from .common import whole_text
 WIDTH, DIM, FILTERS, CHUNK = 7, 8, 24, 512
 #: Bounds of the training sample: labelled rows, and chunks kept of each, spread evenly over its whole text.
 TRAIN_ROWS, TRAIN_CHUNKS = 4000, 6
-EPOCHS, BATCH, RATE, SEED, THRESHOLD = 12, 64, 5e-3, 7, 0.3
+#: Passes over the sample, more where it is small so that there are at least STEPS updates.
+EPOCHS, STEPS, BATCH, RATE, SEED, THRESHOLD = 12, 500, 64, 5e-3, 7, 0.3
 
 
 def chunks(data: bytes) -> list[bytes]:
@@ -93,6 +94,7 @@ def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = EPOCHS, seed: i
     r = np.random.default_rng(seed)
     moment = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in model.items()}
     t = 0
+    epochs = max(epochs, -(-STEPS * BATCH // len(y)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 1e-4
         order = r.permutation(len(y))

@@ -101,12 +101,14 @@ def repeats_at(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: ra
         return
     flat = np.concatenate([texts, np.zeros((n, places, width), np.uint8)], 1).reshape(n, -1)
     reach = (places - starts.start) * width
-    keys = np.lib.stride_tricks.sliding_window_view(flat, reach, axis=1)[row, off * width]
-    order = np.argsort(np.ascontiguousarray(keys).view(f"V{reach}").ravel(), kind="stable")
+    # suffixes meet at equal distance from the anchor only: otherwise one place, seen from two anchors, would match itself
+    level = off[:, None].astype(">u2").view(np.uint8)
+    keys = np.concatenate([level, np.lib.stride_tricks.sliding_window_view(flat, reach, axis=1)[row, off * width]], 1)
+    order = np.argsort(np.ascontiguousarray(keys).view(f"V{reach + 2}").ravel(), kind="stable")
     row, off, keys = row[order], off[order], keys[order]
     length = end[row] - off
     differs = keys[1:] != keys[:-1]
-    common = np.where(differs.any(1), differs.argmax(1), reach) // width
+    common = (np.where(differs.any(1), differs.argmax(1), reach + 2) - 2) // width
     lcp = np.minimum(common, np.minimum(length[1:], length[:-1]))
     # what stands before each suffix; a text's begin, or what lies outside the context, differs from all
     before = texts[row, np.maximum(off - 1, 0)].astype(np.int64)

@@ -83,7 +83,7 @@ def _candidate(rule: Rule, grams: list[str], posting: list[Column]) -> Column:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more_rules=MORE_RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, the kept columns, _text, base_spans and spans (arrays of start, kind_at, stop, kind).
+    """One row per input row: id, the kept columns (prefixed _keep_), _text, base_spans and spans (arrays of start, kind_at, stop, kind).
 
     Null text counts as empty and has no spans; repeated rows are each scanned; null ids stay null; other columns of
     the input don't matter. more_rules may be any rules; base ones are always applied.
@@ -108,7 +108,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.concat(*[F.col(f"_s{at}") for at, r in enumerate(rules) if r.base])
     every = F.concat(*[F.col(f"_s{at}") for at in range(len(rules))])
     counts = {f"n_{r.kind}": F.size(f"_s{at}").cast("long") for at, r in enumerate(BASE_RULES)}
-    return df.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], F.col("_text"), *[c.alias(k) for k, c in counts.items()], base.alias("base_spans"), every.alias("spans"))
+    return df.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}") for c in keep], F.col("_text"), *[c.alias(k) for k, c in counts.items()], base.alias("base_spans"), every.alias("spans"))
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,5 +121,6 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with every secret replaced by a mark; null texts stay null, clean texts stay as they are."""
     others = [c for c in docs.columns if c != id_col]
     found = scan_secrets(docs, id_col, text_col, keep=tuple(others))
-    clean = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(redacted(F.col("_text"), F.col("spans")))
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.size("spans") == 0, F.col(f"_keep_{text_col}")).otherwise(redacted(F.col("_text"), F.col("spans")))
+    column = {id_col: F.col(id_col), text_col: clean}
+    return found.select(*[column.get(c, F.col(f"_keep_{c}")).alias(c) for c in docs.columns])
