@@ -86,21 +86,37 @@ def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def repeats_at(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: range, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def branch_starts(texts: np.ndarray, begin: np.ndarray, anchor: int) -> np.ndarray:
+    """Places where left extension can branch: what aligned texts share to the left of the anchor, over neighbours in the
+    order of their reversed left parts. Left-diverse intervals start nowhere else."""
+    left = np.ascontiguousarray(texts[:, :anchor][:, ::-1])
+    flat = left.reshape(len(texts), -1)
+    if not flat.shape[1]:
+        return np.array([anchor])
+    order = np.argsort(flat.view(f"V{flat.shape[1]}").ravel(), kind="stable")
+    flat, room = flat[order], anchor - begin[order]
+    differs = flat[1:] != flat[:-1]
+    shared = np.where(differs.any(1), differs.argmax(1), flat.shape[1]) // texts.shape[2]
+    shared = np.minimum(shared, np.minimum(room[1:], room[:-1]))
+    # rows whose left part ends early may hide what their neighbours share, so every such end is a start as well
+    return np.unique(np.concatenate([anchor - shared, begin]))
+
+
+def repeats_at(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Maximal repeats among the suffixes of aligned texts (rows, places, bytes of a symbol) that start at `starts`.
 
     Row r holds symbols begin[r]..end[r]. Gives (depth, rows, starts) with all occurrences of each left-diverse interval;
     intervals whose suffixes all follow the same symbol extend to the left, so they are no maximal repeats.
     """
     n, places, width = texts.shape
-    row, off = np.meshgrid(np.arange(n), np.arange(starts.start, starts.stop), indexing="ij")
+    row, off = np.meshgrid(np.arange(n), starts, indexing="ij")
     row, off = row.ravel(), off.ravel()
     fits = (off >= begin[row]) & (off + least <= end[row])
     row, off = row[fits], off[fits]
     if len(row) < 2:
         return
     flat = np.concatenate([texts, np.zeros((n, places, width), np.uint8)], 1).reshape(n, -1)
-    reach = (places - starts.start) * width
+    reach = (places - int(starts[0])) * width
     # suffixes meet at equal distance from the anchor only: otherwise one place, seen from two anchors, would match itself
     level = off[:, None].astype(">u2").view(np.uint8)
     keys = np.concatenate([level, np.lib.stride_tricks.sliding_window_view(flat, reach, axis=1)[row, off * width]], 1)
@@ -128,8 +144,22 @@ def repeats_at(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: ra
                 yield depth, row[here], off[here]
 
 
+def solve_two(contexts: list[bytes], lefts: list[int], a: Alphabet) -> list[list[tuple[int, int]]]:
+    """Two contexts have one left-diverse interval: the stretch around the anchor on which they agree."""
+    (x, y), (i, j), w = (np.frombuffer(c, np.uint8).reshape(-1, a.width) for c in contexts), lefts, a.width
+    left, right = min(i, j), min(len(x) - i, len(y) - j)
+    differs = (x[i - left : i + right] != y[j - left : j + right]).any(1) if w > 1 else (x[i - left : i + right] != y[j - left : j + right])[:, 0]
+    before, after = differs[:left][::-1], differs[left:]
+    s = -int(before.argmax()) if before.any() else -left
+    e = int(after.argmax()) if after.any() else right
+    span = [(s, e)] if e - s >= a.least else []
+    return [span, span]
+
+
 def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) -> list[list[tuple[int, int]]]:
     """For different contexts of one anchor: (from, to) of what repeats, in symbols from the anchor on."""
+    if len(contexts) == 2:
+        return solve_two(contexts, lefts, a)
     back = a.least - a.gram
     places = back + a.least
     texts = np.zeros((len(contexts), places, a.width), np.uint8)
@@ -138,9 +168,10 @@ def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) ->
     for r, c in enumerate(contexts):
         texts[r, begin[r] : end[r]] = np.frombuffer(c, np.uint8).reshape(-1, a.width)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    every = branch_starts(texts, begin, back)
     step = max(1, PIECE // (len(contexts) * places * a.width))
-    for s in range(0, back + 1, step):
-        for depth, rows, starts in solver(texts, begin, end, range(s, min(back + 1, s + step)), a.least):
+    for s in range(0, len(every), step):
+        for depth, rows, starts in solver(texts, begin, end, every[s : s + step], a.least):
             for r, o in zip(rows.tolist(), starts.tolist()):
                 out[r].append((o - back, o - back + depth))
     return out
@@ -162,7 +193,7 @@ def _list_anchors(a: Alphabet):
             for key, text in zip(batch.column(0), batch.column(1)):
                 at, h = anchors(a.symbols(text.as_py().encode()), a)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(key, len(at)), pa.array(at.astype(np.int32))], ["h", "key", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h], pa.list_(pa.int64())), pa.array([at.astype(np.int32)], pa.list_(pa.int32()))], ["key", "h", "pos"])
 
     return run
 
@@ -224,9 +255,10 @@ def repeat_spans(docs: DataFrame, a: Alphabet, solver=repeats_at, id_col: str =
     """(_key, _whole, _spans) of each different text that holds repeats: its digest, whether copies of it exist, and the
     spans of symbols that other places share. _key is the binary MD5 of the text."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("key"), whole_text(text_col).alias("text"))
-    listed = written(rows.select("key", "text").mapInArrow(_list_anchors(a), "h long, key binary, pos int"), "anchors")
-    place = F.struct("key", "pos")
-    shared = listed.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h")
+    # one list of anchors for all copies of a text
+    lists = rows.select("key", "text").mapInArrow(_list_anchors(a), "key binary, h array<long>, pos array<int>").dropDuplicates(["key"])
+    listed = written(lists.select("key", F.inline(F.arrays_zip("h", "pos"))), "anchors")
+    shared = listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     wanted = listed.join(shared, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("at"))
     texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
     asked = wanted.join(texts, "key").select(F.col("key").alias("k"), "rep", "at")

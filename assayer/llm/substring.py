@@ -29,14 +29,14 @@ def word_symbols(data: bytes) -> np.ndarray:
 def subtree_repeats(texts, begin, end, starts, least):
     """Maximal repeats as repeats_at gives them, one part of bounded size after another. A part holds the rows that
     share a prefix; its length grows, word by word, while the part is too large and words are left before `least`."""
-    for start in starts:
+    for start in starts.tolist():
         parts = [(np.nonzero((begin <= start) & (start + least <= end))[0], 0)]
         while parts:
             rows, depth = parts.pop()
             if len(rows) < 2:
                 continue
             if len(rows) <= PART or depth >= least:
-                for d, r, o in repeats_at(texts[rows], begin[rows], end[rows], range(start, start + 1), least):
+                for d, r, o in repeats_at(texts[rows], begin[rows], end[rows], np.array([start]), least):
                     yield d, rows[r], o
                 continue
             _, part = np.unique(texts[rows, start + depth], axis=0, return_inverse=True)
