@@ -30,8 +30,9 @@ class Alphabet:
     gram: int
 
 
-#: Suffixes solved together take at most this many bytes of keys.
-PIECE = 32 << 20
+#: Suffixes solved together take at most this many bytes of keys; groups of more contexts are split start by start into
+#: parts of about PART rows.
+PIECE, LARGE, PART = 32 << 20, 4096, 4096
 
 
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
@@ -156,6 +157,41 @@ def solve_two(contexts: list[bytes], lefts: list[int], a: Alphabet) -> list[list
     return [span, span]
 
 
+def window_parts(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each start, rows whose windows there may be equal, by a hash rolled from start to start, in bounded parts.
+    Rows of equal windows always come together; which really are equal is left to the solver."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    top = np.uint64(pow(int(base), least - 1, 1 << 64))
+
+    def symbol(j: int) -> np.ndarray:
+        out = np.zeros(len(texts), np.uint64)
+        for k in range(texts.shape[2]):
+            out = (out << np.uint64(8)) | texts[:, j, k]
+        return out + np.uint64(1)
+
+    wanted, at = set(starts.tolist()), int(starts[0])
+    h = np.zeros(len(texts), np.uint64)
+    for j in range(at, at + least):
+        h = h * base + symbol(j)
+    while True:
+        if at in wanted:
+            rows = np.nonzero((begin <= at) & (at + least <= end))[0]
+            rows = rows[np.argsort(h[rows], kind="stable")]
+            same = h[rows][1:] == h[rows][:-1]
+            twin = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(rows) else np.zeros(0, bool)
+            rows = rows[twin]
+            cuts = np.nonzero(h[rows][1:] != h[rows][:-1])[0] + 1
+            first = 0
+            for c in [*cuts.tolist(), len(rows)]:
+                if c - first >= PART or c == len(rows) and c > first:
+                    yield at, rows[first:c]
+                    first = c
+        if at >= int(starts[-1]):
+            return
+        h = (h - symbol(at) * top) * base + symbol(at + least)
+        at += 1
+
+
 def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) -> list[list[tuple[int, int]]]:
     """For different contexts of one anchor: (from, to) of what repeats, in symbols from the anchor on."""
     if len(contexts) == 2:
@@ -169,6 +205,12 @@ def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) ->
         texts[r, begin[r] : end[r]] = np.frombuffer(c, np.uint8).reshape(-1, a.width)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     every = branch_starts(texts, begin, back)
+    if len(contexts) > LARGE:
+        for s, part in window_parts(texts, begin, end, every, a.least):
+            for depth, rows, starts in solver(texts[part], begin[part], end[part], np.array([s]), a.least):
+                for r, o in zip(part[rows].tolist(), starts.tolist()):
+                    out[r].append((o - back, o - back + depth))
+        return out
     step = max(1, PIECE // (len(contexts) * places * a.width))
     for s in range(0, len(every), step):
         for depth, rows, starts in solver(texts, begin, end, every[s : s + step], a.least):

@@ -66,6 +66,35 @@ def test_substring_dedup(tables, name):
     assert rows(substring_digests(df), "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_large_groups_are_solved_in_parts():
+    from assayer.llm import repeats
+    from assayer.llm.suffix_dedup import byte_symbols
+
+    a = repeats.Alphabet(byte_symbols, 1, 12, 4)
+    r = random.Random(5)
+    for _ in range(60):
+        gram = b"GRAM"
+        cut = [(bytes(r.choice(b"ab") for _ in range(r.randrange(9))), bytes(r.choice(b"ab") for _ in range(r.randrange(9)))) for _ in range(30)]
+        cut = list(dict.fromkeys(cut))
+        contexts, lefts = [x + gram + y for x, y in cut], [len(x) for x, _ in cut]
+        want = [repeats.merged(s) for s in repeats.solve_group(contexts, lefts, a, repeats.repeats_at)]
+        brute_spans = []
+        for i, c in enumerate(contexts):
+            mine = set()
+            for o in range(len(c) - 11):
+                at = o - lefts[i]
+                if -8 <= at <= 0 and any(j != i and lefts[j] + at >= 0 and d[lefts[j] + at : lefts[j] + at + 12] == c[o : o + 12] for j, d in enumerate(contexts)):
+                    mine.add((at, at + 12))
+            brute_spans.append(repeats.merged(mine))
+        assert want == brute_spans
+        large, part = repeats.LARGE, repeats.PART
+        repeats.LARGE, repeats.PART = 1, 3
+        try:
+            assert [repeats.merged(s) for s in repeats.solve_group(contexts, lefts, a, repeats.repeats_at)] == want
+        finally:
+            repeats.LARGE, repeats.PART = large, part
+
+
 def test_substring_dedup_splits_large_groups(tables, monkeypatch):
     from assayer.llm import substring
 
