@@ -203,20 +203,22 @@ def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) ->
     end = begin + np.array([len(c) // a.width for c in contexts])
     for r, c in enumerate(contexts):
         texts[r, begin[r] : end[r]] = np.frombuffer(c, np.uint8).reshape(-1, a.width)
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    # every repeat holds the anchor, so those of one context are one stretch together
+    low, high = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
     every = branch_starts(texts, begin, back)
     if len(contexts) > LARGE:
         for s, part in window_parts(texts, begin, end, every, a.least):
             for depth, rows, starts in solver(texts[part], begin[part], end[part], np.array([s]), a.least):
-                for r, o in zip(part[rows].tolist(), starts.tolist()):
-                    out[r].append((o - back, o - back + depth))
-        return out
+                at = part[rows]
+                low[at] = np.minimum(low[at], starts - back)
+                high[at] = np.maximum(high[at], starts - back + depth)
+        return [[(x, y)] if y else [] for x, y in zip(low.tolist(), high.tolist())]
     step = max(1, PIECE // (len(contexts) * places * a.width))
     for s in range(0, len(every), step):
         for depth, rows, starts in solver(texts, begin, end, every[s : s + step], a.least):
-            for r, o in zip(rows.tolist(), starts.tolist()):
-                out[r].append((o - back, o - back + depth))
-    return out
+            low[rows] = np.minimum(low[rows], starts - back)
+            high[rows] = np.maximum(high[rows], starts - back + depth)
+    return [[(x, y)] if y else [] for x, y in zip(low.tolist(), high.tolist())]
 
 
 def merged(spans) -> list[tuple[int, int]]:
