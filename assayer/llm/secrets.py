@@ -1,7 +1,6 @@
 """Secret scan by a trigram inverted index.
 
-Each rule's regular expression is given with the literals that any match must hold; every literal becomes the
-conjunction of its trigrams, alternatives become a disjunction. The postings of the mandatory trigrams are kept
+Each rule's regular expression gives a Boolean query of trigrams that any match must hold (see trigrams). The postings of the mandatory trigrams are kept
 vertically, as one bit per trigram beside each document, so intersecting postings is a bitwise AND and moves no rows.
 Candidates are verified by the regular expression itself. A rule without mandatory trigrams scans every text.
 DataFrame functions only.
@@ -9,7 +8,6 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,15 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 from .spans import match_spans, no_spans, redacted, spelled
+from .trigrams import trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """literals: alternatives of which one holds in every match, each a list of substrings that all hold."""
+    """group: what `least` measures in code points; matches of fewer are dropped."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 0
     base: bool = False
@@ -34,34 +32,23 @@ class Rule:
 
 #: Fixed values of the result contract: the three base rules, in the listed order.
 BASE_RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (("password",), ("passwd",), ("secret",), ("token",), ("apikey",), ("api_key",)), 2, 8, True),
-    Rule("access", r"AKIA[A-Z0-9]+", (("akia",),), 0, 16, True),
-    Rule("hex", r"[0-9a-f]+", (), 0, 32, True),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
+    Rule("hex", r"[0-9a-f]+", 0, 32, True),
 )
 #: What this scan adds: public token formats.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----begin ", "private key-----"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyj", ".eyj"),)),
-    Rule("bearer", r"(?i:authorization:\x20*bearer)\x20+[A-Za-z0-9._~+/=-]{16,}", (("authorization:", "bearer"),)),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("bearer", r"(?i:authorization:\x20*bearer)\x20+[A-Za-z0-9._~+/=-]{16,}"),
 )
 
 
-def trigrams(literal: str) -> list[str]:
-    """Lower-cased trigrams of a literal, in order, each once."""
-    low = literal.lower()
-    return list(dict.fromkeys(low[i : i + 3] for i in range(len(low) - 2)))
-
-
-def trigram_query(rule: Rule) -> list[list[str]]:
-    """A disjunction of conjunctions of trigrams that every match of the rule satisfies; empty: no mandatory trigram."""
-    options = [list(dict.fromkeys(t for part in option for t in trigrams(part))) for option in rule.literals]
-    return options if options and all(options) else []
-
-
 def indexed_trigrams(rules) -> list[str]:
-    return list(dict.fromkeys(t for r in rules for option in trigram_query(r) for t in option))
+    """The trigrams that the rules' queries ask for, in order."""
+    return sorted({t for r in rules for option in trigram_query(r.pattern) for t in option})
 
 
 def postings(low: Column, grams: list[str]) -> list[Column]:
@@ -71,8 +58,8 @@ def postings(low: Column, grams: list[str]) -> list[Column]:
 
 
 def _candidate(rule: Rule, grams: list[str], posting: list[Column]) -> Column:
-    options = trigram_query(rule)
-    if not options:
+    options = sorted(map(sorted, trigram_query(rule.pattern)))
+    if not all(options):
         return F.lit(True)
 
     def holds(option):
