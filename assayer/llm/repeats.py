@@ -4,7 +4,11 @@
    Equal windows pick the same gram at the same place, so suffixes meet in the group of their anchor's hash.
 2. Only grams that occur at two or more places go on. Their contexts, as far as a window around the anchor can reach,
    are dealt out by the hash; each group is solved on its own.
-3. Spans return to their texts. Exact copies are one text throughout, known by its digest; they repeat wholly.
+3. Anchors of more than HOT places take another way, as one group would hold them all: their windows are only counted.
+   Blocks of neighbouring windows go first. If the stretch that holds all of a block occurs twice, all its windows do; if
+   what is common to them occurs once, none does; what is left is counted window by window. Counts combine before they
+   are dealt out, so nothing grows with one group.
+4. Spans return to their texts. Exact copies are one text throughout, known by its digest; they repeat wholly.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +35,8 @@ class Alphabet:
     gram: int
 
 
-#: Suffixes solved together take at most this many bytes of keys; groups of more contexts are split start by start into
-#: parts of about PART rows.
-PIECE, LARGE, PART = 32 << 20, 4096, 4096
+#: Suffixes solved together take at most this many bytes of keys; anchors of more places than HOT are counted instead.
+PIECE, HOT = 32 << 20, 2048
 
 
 def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
@@ -57,10 +61,10 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
     return out * np.uint64(0x94D049BB133111EB)
 
 
-def anchors(symbols: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors and their hashes; none in texts shorter than a window."""
+def anchor_of_windows(symbols: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's anchor, and the hashes of all grams; none in texts shorter than a window."""
     if len(symbols) < a.least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(symbols, a.gram)
     low = np.uint64(0xFFFFFFFF)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
@@ -70,10 +74,36 @@ def anchors(symbols: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
         step = min(size, left - size)
         m = np.minimum(m[: len(m) - step], m[step:])
         size += step
-    at = np.unique((low - (m & low)).astype(np.int64))
+    return (low - (m & low)).astype(np.int64), h
+
+
+def anchors(symbols: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors and their hashes."""
+    of, h = anchor_of_windows(symbols, a)
+    at = np.unique(of)
     return at, h[at].view(np.int64)
 
 
+def window_blocks(symbols: np.ndarray, a: Alphabet, hot: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, core begin, core end) of blocks of neighbouring windows of hot anchors. Equal windows fall to blocks
+    of one distance from the anchor; the core is what all windows of a full block share, also where the block is cut."""
+    of, _ = anchor_of_windows(symbols, a)
+    starts = np.nonzero(np.isin(of, hot))[0]
+    if not len(starts):
+        return
+    step = block_size(a)
+    p = of[starts]
+    b = (p - starts) // step
+    cut = np.nonzero((np.diff(p) != 0) | (np.diff(b) != 0) | (np.diff(starts) != 1))[0]
+    first, last = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
+    core = (p - b * step)[np.concatenate([[0], cut + 1])]
+    yield from zip(first.tolist(), last.tolist(), core.tolist(), (core + a.least - step + 1).tolist())
+
+
+def block_size(a: Alphabet) -> int:
+    return max(1, min(16, a.least // 4))
+
+
 def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """Stack scan: (depth, first, last) of every interval of the common-prefix tree of depth >= least. lcp[i] is the
     common prefix of suffixes i and i + 1."""
@@ -157,41 +187,6 @@ def solve_two(contexts: list[bytes], lefts: list[int], a: Alphabet) -> list[list
     return [span, span]
 
 
-def window_parts(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each start, rows whose windows there may be equal, by a hash rolled from start to start, in bounded parts.
-    Rows of equal windows always come together; which really are equal is left to the solver."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    top = np.uint64(pow(int(base), least - 1, 1 << 64))
-
-    def symbol(j: int) -> np.ndarray:
-        out = np.zeros(len(texts), np.uint64)
-        for k in range(texts.shape[2]):
-            out = (out << np.uint64(8)) | texts[:, j, k]
-        return out + np.uint64(1)
-
-    wanted, at = set(starts.tolist()), int(starts[0])
-    h = np.zeros(len(texts), np.uint64)
-    for j in range(at, at + least):
-        h = h * base + symbol(j)
-    while True:
-        if at in wanted:
-            rows = np.nonzero((begin <= at) & (at + least <= end))[0]
-            rows = rows[np.argsort(h[rows], kind="stable")]
-            same = h[rows][1:] == h[rows][:-1]
-            twin = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(rows) else np.zeros(0, bool)
-            rows = rows[twin]
-            cuts = np.nonzero(h[rows][1:] != h[rows][:-1])[0] + 1
-            first = 0
-            for c in [*cuts.tolist(), len(rows)]:
-                if c - first >= PART or c == len(rows) and c > first:
-                    yield at, rows[first:c]
-                    first = c
-        if at >= int(starts[-1]):
-            return
-        h = (h - symbol(at) * top) * base + symbol(at + least)
-        at += 1
-
-
 def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) -> list[list[tuple[int, int]]]:
     """For different contexts of one anchor: (from, to) of what repeats, in symbols from the anchor on."""
     if len(contexts) == 2:
@@ -206,13 +201,6 @@ def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) ->
     # every repeat holds the anchor, so those of one context are one stretch together
     low, high = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
     every = branch_starts(texts, begin, back)
-    if len(contexts) > LARGE:
-        for s, part in window_parts(texts, begin, end, every, a.least):
-            for depth, rows, starts in solver(texts[part], begin[part], end[part], np.array([s]), a.least):
-                at = part[rows]
-                low[at] = np.minimum(low[at], starts - back)
-                high[at] = np.maximum(high[at], starts - back + depth)
-        return [[(x, y)] if y else [] for x, y in zip(low.tolist(), high.tolist())]
     step = max(1, PIECE // (len(contexts) * places * a.width))
     for s in range(0, len(every), step):
         for depth, rows, starts in solver(texts, begin, end, every[s : s + step], a.least):
@@ -258,6 +246,60 @@ def _list_contexts(a: Alphabet):
     return run
 
 
+def _list_blocks(a: Alphabet):
+    """Blocks of windows, with digests of the stretch that holds all their windows and of what all share."""
+
+    def run(batches):
+        digest, w = xxhash.xxh3_128_digest, a.width
+        for batch in batches:
+            for key, text, at in zip(batch.column(0), batch.column(1), batch.column(2)):
+                s = a.symbols(text.as_py().encode())
+                flat = s.tobytes()
+                blocks = list(window_blocks(s, a, np.array(at.as_py(), np.int64)))
+                if blocks:
+                    first, last, _, _ = zip(*blocks)
+                    outer = [digest(flat[f * w : (z + a.least) * w]) for f, z, _, _ in blocks]
+                    core = [digest(flat[i * w : j * w]) for _, _, i, j in blocks]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(blocks)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(outer, pa.binary()), pa.array(core, pa.binary())], ["key", "first", "last", "outer", "core"])
+
+    return run
+
+
+def _list_windows(a: Alphabet):
+    def run(batches):
+        digest, w = xxhash.xxh3_128_digest, a.width
+        for batch in batches:
+            for key, text, blocks in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                flat = a.symbols(text.as_py().encode()).tobytes()
+                for x in blocks:
+                    starts = range(x["first"], x["last"] + 1)
+                    marks = [digest(flat[i * w : (i + a.least) * w]) for i in starts]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(marks)), pa.array(starts, pa.int32()), pa.array(marks, pa.binary())], ["key", "start", "window"])
+
+    return run
+
+
+def _twice(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column)
+
+
+def counted_spans(texts: DataFrame, a: Alphabet) -> DataFrame:
+    """(key, start, stop) of what repeats around hot anchors; texts: different ones as (key, text, at), at their hot
+    anchors' places. Every window belongs to one anchor and so to one block."""
+    blocks = written(texts.mapInArrow(_list_blocks(a), "key binary, first int, last int, outer binary, core binary"), "blocks")
+    whole = _twice(blocks, "outer")
+    done = blocks.join(whole, "outer", "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + a.least).alias("stop"))
+    open_blocks = blocks.join(whole, "outer", "left_anti").join(_twice(blocks, "core"), "core", "left_semi")
+    # windows of a cut block may equal ones inside a stretch that repeats, so one of each such stretch is counted too
+    shown = blocks.join(whole, "outer", "left_semi").groupBy("outer").agg(F.min(F.struct("key", "first", "last", "core")).alias("x")).select("x.*")
+    shown = shown.join(open_blocks.select("core").distinct(), "core", "left_semi")
+    asked = open_blocks.select("key", "first", "last").unionByName(shown.select("key", "first", "last"))
+    asked = asked.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("blocks")).withColumnRenamed("key", "k")
+    windows = written(texts.join(asked, F.col("key") == F.col("k")).select("key", "text", "blocks").mapInArrow(_list_windows(a), "key binary, start int, window binary"), "windows")
+    open_ = windows.join(_twice(windows, "window"), "window", "left_semi").select("key", "start", (F.col("start") + a.least).alias("stop"))
+    return done.unionByName(open_)
+
+
 def _solve(a: Alphabet, solver):
     def spans_of(members: dict[tuple[int, bytes], set]) -> Iterator[tuple[bytes, int, int]]:
         kinds = list(members)
@@ -302,13 +344,22 @@ def repeat_spans(docs: DataFrame, a: Alphabet, solver=repeats_at, id_col: str =
     # one list of anchors for all copies of a text
     lists = rows.select("key", "text").mapInArrow(_list_anchors(a), "key binary, h array<long>, pos array<int>").dropDuplicates(["key"])
     listed = written(lists.select("key", F.inline(F.arrays_zip("h", "pos"))), "anchors")
-    shared = listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    wanted = listed.join(shared, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("at"))
+    shared = listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    wanted = listed.join(shared, "h").groupBy("key").agg(F.collect_set(F.when(~F.col("hot"), F.col("pos"))).alias("at"), F.collect_set(F.when(F.col("hot"), F.col("pos"))).alias("hot_at"))
     texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
-    asked = wanted.join(texts, "key").select(F.col("key").alias("k"), "rep", "at")
-    chosen = rows.join(asked, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "text", "at")
-    contexts = chosen.mapInArrow(_list_contexts(a), "h long, key binary, pos int, back int, context binary")
+    asked = written(wanted.join(texts, "key").select(F.col("key").alias("k"), "rep", "n", "at", "hot_at"), "asked")
+
+    def chosen(places: str) -> DataFrame:
+        some = asked.where(F.size(places) > 0).select("k", "rep", "n", F.col(places).alias("at"))
+        return rows.join(some, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "text", "at", "n")
+
+    contexts = chosen("at").select("key", "text", "at").mapInArrow(_list_contexts(a), "h long, key binary, pos int, back int, context binary")
     spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_solve(a, solver), "key binary, start int, stop int")
+    if not asked.where(F.size("hot_at") > 0).isEmpty():
+        hot = chosen("hot_at")
+        # repeated rows of one id and text are no two places
+        hot = hot.where("n = 1").unionByName(hot.where("n > 1").dropDuplicates(["key"])).drop("n")
+        spans = spans.unionByName(counted_spans(written(hot, "hot"), a))
     by_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
     whole = texts.where("n > 1").select("key", F.lit(True).alias("_whole"))
     return whole.join(by_text, "key", "full").select(F.col("key").alias("_key"), F.coalesce("_whole", F.lit(False)).alias("_whole"), "_spans")

@@ -66,7 +66,7 @@ def test_substring_dedup(tables, name):
     assert rows(substring_digests(df), "n_words", "n_removed", "kept_sha256") == want
 
 
-def test_large_groups_are_solved_in_parts():
+def test_groups_against_brute_force():
     from assayer.llm import repeats
     from assayer.llm.suffix_dedup import byte_symbols
 
@@ -87,12 +87,51 @@ def test_large_groups_are_solved_in_parts():
                     mine.add((at, at + 12))
             brute_spans.append(repeats.merged(mine))
         assert want == brute_spans
-        large, part = repeats.LARGE, repeats.PART
-        repeats.LARGE, repeats.PART = 1, 3
-        try:
-            assert [repeats.merged(s) for s in repeats.solve_group(contexts, lefts, a, repeats.repeats_at)] == want
-        finally:
-            repeats.LARGE, repeats.PART = large, part
+
+
+@pytest.mark.parametrize("name", ["edge", "docs"])
+def test_hot_anchors_are_counted(tables, name, monkeypatch):
+    from assayer.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", 2)
+    df, docs = both(tables, name)
+    want = [(i, *x) for (i, _), x in zip(docs, brute.bytes_removed([t for _, t in docs]))]
+    assert rows(suffix_digests(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    monkeypatch.setattr(repeats, "HOT", 1)
+    want = [(i, *x) for (i, _), x in zip(docs, brute.words_removed([t for _, t in docs], 10))]
+    assert rows(drop_repeated_words(df, 10), "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_repeated_rows_of_one_id(tables, monkeypatch):
+    from assayer.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT", 1)
+    df = tables["edge"].where("doc_id < 14")
+    df = df.unionByName(df)
+    docs = 2 * [(r[0], r[1]) for r in edge_rows()[:14]]
+    want = sorted((i, *x) for (i, _), x in zip(docs, brute.words_removed([t for _, t in docs], 10)))
+    assert sorted(rows(drop_repeated_words(df, 10), "n_words", "n_removed", "kept_sha256")) == want
+
+
+PATTERNS = [r"foo(bar|ba+z)?qux", r"(?i:tok_?en)[:=]{1,2}x", r"[abc]+def\d{2}", r"a?b?c?", r"(one|two){2,3}three", r"x{5}y*z", r"[^a]bcd|efg.hij"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_trigram_queries_hold_in_every_match(pattern):
+    import re
+
+    from assayer.llm.trigrams import trigram_query
+
+    r = random.Random(1)
+    query = trigram_query(pattern)
+    pieces = ["foo", "bar", "baz", "baaz", "qux", "tok_en", "TOKEN:=x", ":", "x", "abc", "def12", "one", "two", "three", "xxxxxyz", "zbcd", "efg-hij", " "]
+    hits = 0
+    for _ in range(4000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 7)))
+        if re.search(pattern, text):
+            hits += 1
+            assert any(all(g in text.lower() for g in option) for option in query), (pattern, text)
+    assert hits
 
 
 def test_substring_dedup_splits_large_groups(tables, monkeypatch):
