@@ -280,7 +280,7 @@ def _list_windows(a: Alphabet):
 
 
 def _twice(rows: DataFrame, column: str) -> DataFrame:
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column)
+    return written(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "twice")
 
 
 def counted_spans(texts: DataFrame, a: Alphabet) -> DataFrame:
@@ -344,7 +344,8 @@ def repeat_spans(docs: DataFrame, a: Alphabet, solver=repeats_at, id_col: str =
     # one list of anchors for all copies of a text
     lists = rows.select("key", "text").mapInArrow(_list_anchors(a), "key binary, h array<long>, pos array<int>").dropDuplicates(["key"])
     listed = written(lists.select("key", F.inline(F.arrays_zip("h", "pos"))), "anchors")
-    shared = listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    # written, so that the join below has plain exchanges on both sides and a hot hash can be split
+    shared = written(listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "shared")
     wanted = listed.join(shared, "h").groupBy("key").agg(F.collect_set(F.when(~F.col("hot"), F.col("pos"))).alias("at"), F.collect_set(F.when(F.col("hot"), F.col("pos"))).alias("hot_at"))
     texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
     asked = written(wanted.join(texts, "key").select(F.col("key").alias("k"), "rep", "n", "at", "hot_at"), "asked")
