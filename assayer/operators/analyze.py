@@ -51,6 +51,26 @@ def basket_rules(df: DataFrame, basket: str, item: str, support: float, confiden
     return kept.select("antecedent", "consequent", "together", *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
+def basket_triple_rules(df: DataFrame, basket: str, item: str, support: float, confidence: float) -> DataFrame:
+    """Rules {a, b} -> c over frequent sets of three items. Items below the support go first, as no frequent set holds
+    them; triples form inside one basket, whose size bounds them, and are counted before they are dealt out."""
+    items = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
+    n = items.agg(F.count_distinct("basket")).first()[0]
+    singles = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support * n)
+    sets = items.join(singles.select("item"), "item", "left_semi").groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("s"))
+
+    def rest(i):
+        return F.slice("s", i + 2, F.size("s"))
+
+    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(rest(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs_after = lambda a, i: F.flatten(F.transform(rest(i), lambda b, j: F.transform(F.slice("s", i + j + 3, F.size("s")), lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))))
+    two = sets.where(F.size("s") > 1).select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n2"))
+    three = sets.where(F.size("s") > 2).select(F.inline(F.flatten(F.transform("s", pairs_after)))).groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support * n)
+    turns = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("consequent")) for x, y, z in ("abc", "acb", "bca")])
+    rules = three.select("n", F.inline(turns)).join(two, ["a", "b"]).withColumn("confidence", F.col("n") / F.col("n2"))
+    return rules.where(F.col("confidence") >= confidence).select("a", "b", "consequent", F.col("n").alias("together"), F.round(F.col("n") / n, 6).alias("support"), F.round("confidence", 6).alias("confidence"))
+
+
 def sequence_steps(df: DataFrame, customer: str, ts: str, order: str, item: str, gap_days: int = 14) -> DataFrame:
     """(previous, following) items of a customer's consecutive orders at most gap_days apart."""
     w = W.partitionBy(customer).orderBy(ts, order)

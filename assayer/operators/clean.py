@@ -45,6 +45,17 @@ def carry(df: DataFrame, column: str, group, order, backward: bool = False) -> D
     return df.withColumn(column, filled)
 
 
+def convert_units(column: Column, units: dict[str, tuple[str, float]], places: int = 4) -> Column:
+    """The whole text replaced by "number unit" where a number stands before a unit that units (from -> to, factor)
+    names, letter case aside; the first unit that fits counts. Other texts and nulls stay."""
+    out = column
+    for name, (to, factor) in reversed(units.items()):
+        pattern = rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*{name}\b"
+        number = F.round(F.regexp_extract(column, pattern, 1).try_cast("double") * factor, places)
+        out = F.when(column.rlike(pattern), F.concat_ws(" ", number.cast("string"), F.lit(to))).otherwise(out)
+    return out
+
+
 def bounds_of(df: DataFrame, column: str, method: str = "iqr", multiplier: float = 1.5, z: float = 3.0, percentiles=(0.01, 0.99)) -> tuple:
     if method == "iqr":
         return iqr_bounds(df, [column], multiplier)[column]

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FLOOR = 1e-4
+#: Ranges that a global order is dealt into.
+RANGES = 128
 
 
 def _share(n, total):
@@ -52,13 +54,30 @@ def psi_numeric(baseline: DataFrame, current: DataFrame, column: str, bins: int
     return _psi(cells, m["n"], n)
 
 
+def _ranges(cells: DataFrame, count: int = RANGES) -> DataFrame:
+    """cells with _range: the place of value among at most `count` bounds, quantiles of the distinct values."""
+    bounds = cells.agg(F.percentile_approx("value", [i / count for i in range(1, count)])).first()[0]
+    bounds = F.array(*map(F.lit, sorted(set(bounds or [])))).cast("array<double>")
+    return cells.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("value"))))
+
+
 def ecdf_distances(baseline: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """Kolmogorov-Smirnov statistic and Wasserstein-1 distance from one running sum over distinct values."""
-    cells = two_sides(baseline, current, column)
+    """Kolmogorov-Smirnov statistic and Wasserstein-1 distance from running sums over distinct values.
+
+    Values are dealt into ranges; each range sums on its own and starts from the sums of the ranges before it. Windows
+    without a partition see one row per range only.
+    """
+    cells = _ranges(two_sides(baseline, current, column))
     total = cells.agg(F.sum("b").alias("b"), F.sum("c").alias("c")).first()
-    order = W.orderBy("value")
-    gap = F.abs(F.sum("b").over(order) / total["b"] - F.sum("c").over(order) / total["c"])
-    seen = cells.select("value", gap.alias("gap"), (F.lead("value").over(order) - F.col("value")).alias("width"))
+    by_range = W.orderBy("_range")
+    before = by_range.rowsBetween(W.unboundedPreceding, -1)
+    starts = cells.groupBy("_range").agg(F.sum("b").alias("b"), F.sum("c").alias("c"), F.min("value").alias("least"))
+    starts = starts.select("_range", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.lead("least").over(by_range).alias("after"))
+    order = W.partitionBy("_range").orderBy("value")
+    cells = cells.join(F.broadcast(starts), "_range")  # at most RANGES rows
+    gap = F.abs((F.col("b0") + F.sum("b").over(order)) / total["b"] - (F.col("c0") + F.sum("c").over(order)) / total["c"])
+    width = F.coalesce(F.lead("value").over(order), F.col("after")) - F.col("value")
+    seen = cells.select("value", gap.alias("gap"), (width).alias("width"))
     return seen.agg(F.round(F.max("gap"), 6).alias("ks"), F.round(F.sum(F.col("gap") * F.col("width")), 4).alias("wasserstein"))
 
 

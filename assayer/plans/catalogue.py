@@ -548,6 +548,25 @@ def _(s, d):
     return an.basket_rules(items, "l_orderkey", "p_type", 0.02, 0.3, 0.0)
 
 
+@case(
+    "basket_triple_rules",
+    """WITH i AS (SELECT DISTINCT l_orderkey b, p_brand x FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT b) n FROM i), s AS (SELECT x, count(*) c FROM i GROUP BY 1),
+ f AS (SELECT i.* FROM i SEMI JOIN (SELECT x FROM s, n WHERE c >= 0.001 * n) k ON i.x = k.x), p AS (SELECT i.x a, j.x b, count(*) c FROM f i JOIN f j ON i.b = j.b AND i.x < j.x GROUP BY 1, 2),
+ t AS (SELECT i.x a, j.x b, k.x c, count(*) m FROM f i JOIN f j ON i.b = j.b AND i.x < j.x JOIN f k ON k.b = i.b AND k.x <> i.x AND k.x <> j.x GROUP BY 1, 2, 3)
+ SELECT a, b, t.c AS consequent, m AS together, round(m / n, 6) AS support, round(m / p.c, 6) AS confidence FROM t JOIN p USING (a, b), n WHERE m >= 0.001 * n AND m / p.c >= 0.1""",
+)
+def _(s, d):
+    items = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return an.basket_triple_rules(items, "l_orderkey", "p_brand", 0.001, 0.1)
+
+
+@case("standardize_units", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN round(p_size * 2.5, 4)::VARCHAR || ' cm' WHEN p_partkey % 3 = 1 THEN round(p_size * 0.5, 4)::VARCHAR || ' kg' ELSE p_size::VARCHAR || ' pieces' END AS label FROM part")
+def _(s, d):
+    unit = F.element_at(F.array(F.lit("Inch"), F.lit("lb"), F.lit("pieces")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    label = F.concat_ws(" ", F.col("p_size").cast("string"), unit)
+    return table(s, d, "part").select("p_partkey", cl.convert_units(label, {"inch": ("cm", 2.5), "lb": ("kg", 0.5)}).alias("label"))
+
+
 STEPS = "SELECT o_orderpriority AS previous, lead(o_orderpriority) OVER w AS following, date_diff('day', o_orderdate, lead(o_orderdate) OVER w) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
 
