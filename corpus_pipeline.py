@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from assayer.llm.bpe import bpe_digests
 from assayer.llm.common import written
+from assayer.llm.jaccard import one_per_group
 from assayer.llm.mixing import mix
 from assayer.llm.quality_cnn import classify
 from assayer.llm.queries import tokenizer_path
 from assayer.llm.secrets import redact_secrets
-from assayer.llm.simhash import near_duplicates
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group, five words to a shingle."""
-    kept = near_duplicates(docs, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    It is the row of the least id, null ids last, then of the least text digest; repeated rows count as one.
+    """
+    return one_per_group(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -273,3 +274,53 @@ def test_pipeline(spark, sf_dir):
         at = out
     last = corpus_pipeline.STAGES[-1][1](spark, at, sf_dir)
     assert last.count() == at.count()
+
+
+def near_groups(docs):
+    """The row kept of each group of (id, text), by brute force over all pairs of five-word shingle sets."""
+    sets = []
+    for _, t in docs:
+        words = (t or "").encode().lower().split()
+        k = min(5, len(words))
+        sets.append({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set())
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    kept = {}
+    for i, (d, t) in enumerate(docs):
+        kept.setdefault(find(i), []).append((d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), d, t))
+    return sorted(min(v, key=lambda x: x[:3])[3:] for v in kept.values())
+
+
+def test_near_duplicate_stage_reaches_four_fifths(spark, monkeypatch):
+    import corpus_pipeline
+
+    from assayer.llm import jaccard
+
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = [r.choice(vocabulary) for _ in range(25)]
+    texts = [None, "", "one two", "One  two", "a b c d e"]
+    for _ in range(25):
+        base = [r.choice(vocabulary) for _ in range(r.randrange(20, 160))] + passage
+        for cuts in range(r.randrange(1, 7)):
+            copy = list(base)
+            for _ in range(cuts * r.randrange(1, 3)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            texts.append(" ".join(copy))
+    docs = [(i, t) for i, t in enumerate(texts)]
+    want = near_groups(docs)
+    assert len(want) < len(docs) - 10
+    df = spark.createDataFrame([(i, t, "en", "a", len(t or ""), "x", 1, "k") for i, t in docs], SCHEMA).repartition(3)
+    for common in (3, 10**6):
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        assert sorted((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicate_removal(spark, df, "").collect()) == want
