@@ -324,3 +324,15 @@ def test_near_duplicate_stage_reaches_four_fifths(spark, monkeypatch):
     for common in (3, 10**6):
         monkeypatch.setattr(jaccard, "COMMON", common)
         assert sorted((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicate_removal(spark, df, "").collect()) == want
+
+
+def test_near_duplicate_stage_null_ids_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    a, b, c, d = (" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(60)) for _ in range(4))
+    data = [(None, a), (None, a), (None, b), (4, b), (None, b + " end"), (5, c), (5, c), (5, d), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "a", 1, "x", 1, "k") for i, t in data], SCHEMA).repartition(3)
+    got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicate_removal(spark, df, "").collect()]
+    assert len(got) == 5
+    assert {x for x in got if x[1]} == {(None, a), (4, b), (5, c), (5, d)} and [x[0] for x in got if not x[1]] == [None]
