@@ -1,10 +1,10 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
 Vectors fall to the nearest of a few pivots. Each group is summarised by its size, its largest distance from the pivot
-and the k least such distances; only these summaries reach the driver. For a query q and a group around p,
+and its least such distances; only these summaries reach the driver. For a query q and a group around p,
 q.x = q.p + q.(x - p), so |q| times those distances bounds every score in the group from above and the k best of it from below.
-The k-th best lower bound over all groups is a score that k candidates are sure to reach; a query goes only to groups
-whose upper bound is not below it. Groups are solved in cells of bounded size, so a hot group is spread.
+Of a query whose id has m rows, the (k + m)-th best lower bound over all groups is a score that k candidates are sure to
+reach, own rows left out; a query goes only to groups whose upper bound is not below it. Groups are solved in cells of bounded size, so a hot group is spread.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 PIVOTS, CELL = 32, 4096
+#: Rows of one query id that the bounds allow for; queries of more see every group.
+OWN = 64
 #: Rows of a score matrix computed at once, and what a double sums exactly.
 QUERY_ROWS, EXACT = 256, 2**52
 
@@ -76,9 +78,9 @@ def _assign(pivots: np.ndarray, width: int, far: bool):
     return run
 
 
-def _route(pivots: np.ndarray, width: int, sizes: np.ndarray, radius: np.ndarray, near: list[np.ndarray], k: int):
+def _route(pivots: np.ndarray, width: int, sizes: np.ndarray, radius: np.ndarray, near: list[np.ndarray], k: int, own: int):
     """Adds the groups that a query must see and the score that its k-th best is sure to reach."""
-    ks = [np.arange(min(k + 1, int(n))) for n in sizes]
+    ks = [np.arange(min(k + own, int(n))) for n in sizes]
     owner = np.concatenate([np.full(len(r), g) for g, r in enumerate(ks)]) if ks else np.zeros(0, int)
     reach = np.concatenate([near[g][: len(r)] for g, r in enumerate(ks)]) if ks else np.zeros(0)
 
@@ -90,8 +92,12 @@ def _route(pivots: np.ndarray, width: int, sizes: np.ndarray, radius: np.ndarray
             slack = 1e-6 * (1 + np.abs(to))
             upper = to + norm[:, None] * radius[None, :] + slack
             lower = to[:, owner] - norm[:, None] * reach[None, :] - slack[:, owner]
-            # k + 1 rows, as the query itself may be one of them
-            sure = np.partition(lower, lower.shape[1] - k - 1, axis=1)[:, lower.shape[1] - k - 1] if lower.shape[1] > k else np.full(len(q), -np.inf)
+            # k + m rows, as the m rows of the query's id may be among them
+            m = batch.column("_m").to_numpy()
+            sure = np.full(len(q), -np.inf)
+            for n in np.unique(m[(m <= own) & (k + m <= lower.shape[1])]):
+                at = lower.shape[1] - k - n
+                sure[m == n] = np.partition(lower[m == n], at, axis=1)[:, at]
             groups = [np.nonzero((u >= s) & (sizes > 0))[0].tolist() for u, s in zip(upper, sure)]
             least = np.maximum(np.floor(sure), -(2.0**62)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_v"), pa.array(least), pa.array(groups, pa.list_(pa.int32()))], ["_id", "_v", "_least", "_groups"])
@@ -136,17 +142,18 @@ def top_k(embeddings: DataFrame, is_query=None, k: int = 20, pivots: int = PIVOT
     grouped = written(data.mapInArrow(_assign(p, width, False), "_id long, _v binary, _g int, _d double"), "vectors")
     order = W.partitionBy("_g").orderBy("_d")
     summary = {r["_g"]: r for r in grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("far")).collect()}
-    # the k + 1 least distances of each group; the limit is pushed below the exchange
+    is_query = (F.col("_id") % 20 == 0) if is_query is None else is_query(F.col("_id"))
+    asked = written(grouped.where(is_query).groupBy("_id").agg(F.min("_v").alias("_v"), F.count(F.lit(1)).alias("_m")), "vectors")
+    own = min(OWN, asked.agg(F.max("_m")).first()[0] or 1)
+    # the k + own least distances of each group; the limit is pushed below the exchange
     close: dict[int, list[float]] = {}
-    for r in grouped.select("_g", "_d", F.row_number().over(order).alias("_r")).where(F.col("_r") <= k + 1).collect():
+    for r in grouped.select("_g", "_d", F.row_number().over(order).alias("_r")).where(F.col("_r") <= k + own).collect():
         close.setdefault(r["_g"], []).append(r["_d"])
     sizes = np.array([summary[g]["n"] if g in summary else 0 for g in range(len(p))])
     radius = np.array([summary[g]["far"] if g in summary else 0.0 for g in range(len(p))])
     near = [np.sort(np.array(close.get(g, []))) for g in range(len(p))]
     cells = F.element_at(F.array(*[F.lit(max(1, -(-int(n) // CELL))) for n in sizes]), F.col("_g") + 1)
-    is_query = (F.col("_id") % 20 == 0) if is_query is None else is_query(F.col("_id"))
-    asked = grouped.where(is_query).groupBy("_id").agg(F.min("_v").alias("_v"))
-    routed = asked.mapInArrow(_route(p, width, sizes, radius, near, k), "_id long, _v binary, _least long, _groups array<int>")
+    routed = asked.mapInArrow(_route(p, width, sizes, radius, near, k, own), "_id long, _v binary, _least long, _groups array<int>")
     asks = routed.select("_id", "_v", "_least", F.explode("_groups").alias("_g")).withColumn("_c", F.explode(F.sequence(F.lit(0), cells - 1)))
     held = grouped.select("_id", "_v", "_g", F.pmod(F.xxhash64("_id", F.col("_v")), cells).cast("int").alias("_c"))
 

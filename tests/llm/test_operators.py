@@ -336,3 +336,17 @@ def test_near_duplicate_stage_null_ids_and_repeated_rows(spark):
     got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicate_removal(spark, df, "").collect()]
     assert len(got) == 5
     assert {x for x in got if x[1]} == {(None, a), (4, b), (5, c), (5, d)} and [x[0] for x in got if not x[1]] == [None]
+
+
+@pytest.mark.parametrize("own", [64, 1])
+@pytest.mark.parametrize("copies", [2, 25])
+def test_knn_repeated_query_id(spark, monkeypatch, own, copies):
+    from assayer.llm import knn
+
+    monkeypatch.setattr(knn, "OWN", own)
+    others = [(i, [float(i % 32) + i / 64, 0.0]) for i in range(1, 25 + copies) if i % 20]
+    rows = copies * [(0, [10.0, 0.0])] + others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = sorted(((-int(640 * (64 * x[0] // 1)), i) for i, x in others))[:20]
+    got = sorted(map(tuple, top_k(df).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == [(0, r, i, -s) for r, (s, i) in enumerate(want, 1)]
