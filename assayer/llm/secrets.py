@@ -36,9 +36,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
     Rule("hex", r"[0-9a-f]+", 0, 32, True),
 )
+#: A private key goes up to its END line; where that is missing, through header lines and base64: long runs, or whole lines.
+#: Line ends may be spelled \n, as in quoted strings. Possessive, so that long keys need no deep stack.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])++(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+    r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{20,}+|\x20*+(?:[\r\n]|\\[rn])(?:\s|\\[rn])*+[A-Za-z0-9+/=]++(?!\x20*+[^\r\n\\\x20]))*+)"
+)
 #: What this scan adds: public token formats.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
