@@ -1,20 +1,24 @@
 """Repeats of a least length over all texts: what the suffix-array and the suffix-tree operators share.
 
 1. Every text gives anchors: of each window of `least` symbols the short gram with the least hash, the rightmost if tied.
-   Equal windows pick the same gram at the same place, so suffixes meet in the group of their anchor's hash.
-2. Only grams that occur at two or more places go on. Their contexts, as far as a window around the anchor can reach,
-   are dealt out by the hash; each group is solved on its own.
-3. Anchors of more than HOT places take another way, as one group would hold them all: their windows are only counted.
-   Blocks of neighbouring windows go first. If the stretch that holds all of a block occurs twice, all its windows do; if
-   what is common to them occurs once, none does; what is left is counted window by window. Counts combine before they
-   are dealt out, so nothing grows with one group.
-4. Spans return to their texts. Exact copies are one text throughout, known by its digest; they repeat wholly.
+   Equal windows pick the same gram at the same place, so suffixes meet in the group of their anchor's gram.
+2. Grams of two or more places go on. The context of a place is as much as any window of its anchor reaches. Equal contexts
+   are one row from here on, with map-side sums, so that thousands of copies of a passage weigh as much as one.
+3. A group's suffixes share a prefix, the gram. While a group holds more than PART different contexts, the shared part grows
+   (split_groups): half of the windows each, dealt by what all windows of that half have in common, down to one window.
+   The number of contexts alone decides; every part then fits in memory and is solved on its own.
+4. Parts are solved many at a time, as one sorted array of suffixes (solve). Repeats return to their places and texts.
+
+Exact copies are one text throughout, known by 128 bits of SHA-256; they repeat wholly. Contexts are told apart by
+128-bit BLAKE2 digests; repeats themselves are found by comparing symbols.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +26,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import discard, text_key, whole_text, written
 
 
 @dataclass(frozen=True)
 class Alphabet:
-    """How a text becomes symbols (bytes of a fixed width each), how many make a window, how many an anchor's gram."""
+    """How texts become symbols. units: a text's symbols as something to slice; values: a number for each unit, equal for
+    equal ones; cut: units as bytes; coded: the symbols of many cuts as numbers, exactly, and how many each has."""
 
-    symbols: Callable[[bytes], np.ndarray]
-    width: int
     least: int
     gram: int
+    units: Callable[[bytes], object]
+    values: Callable[[object], np.ndarray]
+    cut: Callable[[object], bytes]
+    coded: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
+    @property
+    def room(self) -> int:
+        """How far before its anchor a window may begin."""
+        return self.least - self.gram
 
-#: Suffixes solved together take at most this many bytes of keys; anchors of more places than HOT are counted instead.
-PIECE, HOT = 32 << 20, 2048
 
+#: Different contexts in a part, bytes of keys sorted at once, and digests that a task remembers.
+PART, PIECE, REMEMBERED = 4096, 16 << 20, 1 << 16
 
-def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
+
+def gram_hashes(x: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of every run of `gram` symbols, by doubling."""
-    x = np.zeros(len(symbols), np.uint64)
-    for j in range(symbols.shape[1]):
-        x = (x << np.uint64(8)) | symbols[:, j]
-    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     base, done, out, power, size = 0xBF58476D1CE4E5B9, 0, None, x, 1
     while True:
@@ -61,316 +70,407 @@ def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
     return out * np.uint64(0x94D049BB133111EB)
 
 
-def anchor_of_windows(symbols: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each window's anchor, and the hashes of all grams; none in texts shorter than a window."""
-    if len(symbols) < a.least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(symbols, a.gram)
+def anchors(x: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors of a text's symbol values, and their hashes; none in texts shorter than a window."""
+    if len(x) < a.least:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = gram_hashes(x, a.gram)
     low = np.uint64(0xFFFFFFFF)
-    key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
-    left, m = a.least - a.gram + 1, key
+    m = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     size = 1
-    while size < left:
-        step = min(size, left - size)
+    while size <= a.room:
+        step = min(size, a.room + 1 - size)
         m = np.minimum(m[: len(m) - step], m[step:])
         size += step
-    return (low - (m & low)).astype(np.int64), h
+    at = np.unique((low - (m & low)).astype(np.int64))
+    return at, h[at].view(np.int64)
 
 
-def anchors(symbols: np.ndarray, a: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors and their hashes."""
-    of, h = anchor_of_windows(symbols, a)
-    at = np.unique(of)
-    return at, h[at].view(np.int64)
+def _list_anchors(a: Alphabet):
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                at, h = anchors(a.values(a.units(text.as_py().encode())), a)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h], pa.list_(pa.int64())), pa.array([at.astype(np.int32)], pa.list_(pa.int32()))], ["key", "h", "pos"])
 
+    return run
 
-def window_blocks(symbols: np.ndarray, a: Alphabet, hot: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(first, last, core begin, core end) of blocks of neighbouring windows of hot anchors. Equal windows fall to blocks
-    of one distance from the anchor; the core is what all windows of a full block share, also where the block is cut."""
-    of, _ = anchor_of_windows(symbols, a)
-    starts = np.nonzero(np.isin(of, hot))[0]
-    if not len(starts):
-        return
-    step = block_size(a)
-    p = of[starts]
-    b = (p - starts) // step
-    cut = np.nonzero((np.diff(p) != 0) | (np.diff(b) != 0) | (np.diff(starts) != 1))[0]
-    first, last = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
-    core = (p - b * step)[np.concatenate([[0], cut + 1])]
-    yield from zip(first.tolist(), last.tolist(), core.tolist(), (core + a.least - step + 1).tolist())
 
+PLACES = "c binary, h long, back int, size int, key binary, pos int, context binary"
 
-def block_size(a: Alphabet) -> int:
-    return max(1, min(16, a.least // 4))
 
+def _list_contexts(a: Alphabet):
+    """A row for each wanted place; the context itself only where the task hasn't given it lately."""
 
-def lcp_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """Stack scan: (depth, first, last) of every interval of the common-prefix tree of depth >= least. lcp[i] is the
-    common prefix of suffixes i and i + 1."""
-    stack: list[tuple[int, int]] = []
-    for i, depth in enumerate([*lcp, 0]):
-        first = i
-        while stack and stack[-1][0] > depth:
-            d, first = stack.pop()
-            yield d, first, i
-        if depth >= least and (not stack or stack[-1][0] < depth):
-            stack.append((depth, first))
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for key, text, at in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                units = a.units(text.as_py().encode())
+                at = sorted((x["pos"], x["h"]) for x in at)
+                marks, backs, sizes, shown = [], [], [], []
+                for p, _ in at:
+                    back = min(p, a.room)
+                    part = units[p - back : p + a.least]
+                    cut = a.cut(part)
+                    c = blake2b(cut, digest_size=16, salt=back.to_bytes(4, "little")).digest()
+                    marks.append(c)
+                    backs.append(back)
+                    sizes.append(len(part))
+                    shown.append(None if c in seen else cut)
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(c)
+                pos, h = zip(*at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(marks, pa.binary()), pa.array(h, pa.int64()), pa.array(backs, pa.int32()), pa.array(sizes, pa.int32()), pa.repeat(key, len(at)), pa.array(pos, pa.int32()), pa.array(shown, pa.binary())],
+                    ["c", "h", "back", "size", "key", "pos", "context"],
+                )
 
+    return run
 
-def branch_starts(texts: np.ndarray, begin: np.ndarray, anchor: int) -> np.ndarray:
-    """Places where left extension can branch: what aligned texts share to the left of the anchor, over neighbours in the
-    order of their reversed left parts. Left-diverse intervals start nowhere else."""
-    left = np.ascontiguousarray(texts[:, :anchor][:, ::-1])
-    flat = left.reshape(len(texts), -1)
-    if not flat.shape[1]:
-        return np.array([anchor])
-    order = np.argsort(flat.view(f"V{flat.shape[1]}").ravel(), kind="stable")
-    flat, room = flat[order], anchor - begin[order]
-    differs = flat[1:] != flat[:-1]
-    shared = np.where(differs.any(1), differs.argmax(1), flat.shape[1]) // texts.shape[2]
-    shared = np.minimum(shared, np.minimum(room[1:], room[:-1]))
-    # rows whose left part ends early may hide what their neighbours share, so every such end is a start as well
-    return np.unique(np.concatenate([anchor - shared, begin]))
 
+@dataclass(frozen=True)
+class Found:
+    """texts: (key, rep, n) of each different text; places: (c, key, pos) of each listed anchor; contexts: (h, c, back, size,
+    context, many) of each different context, many if it stands at two places or more."""
 
-def repeats_at(texts: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Maximal repeats among the suffixes of aligned texts (rows, places, bytes of a symbol) that start at `starts`.
+    texts: DataFrame
+    places: DataFrame
+    contexts: DataFrame
 
-    Row r holds symbols begin[r]..end[r]. Gives (depth, rows, starts) with all occurrences of each left-diverse interval;
-    intervals whose suffixes all follow the same symbol extend to the left, so they are no maximal repeats.
-    """
-    n, places, width = texts.shape
-    row, off = np.meshgrid(np.arange(n), starts, indexing="ij")
-    row, off = row.ravel(), off.ravel()
-    fits = (off >= begin[row]) & (off + least <= end[row])
-    row, off = row[fits], off[fits]
-    if len(row) < 2:
-        return
-    flat = np.concatenate([texts, np.zeros((n, places, width), np.uint8)], 1).reshape(n, -1)
-    reach = (places - int(starts[0])) * width
-    # suffixes meet at equal distance from the anchor only: otherwise one place, seen from two anchors, would match itself
-    level = off[:, None].astype(">u2").view(np.uint8)
-    keys = np.concatenate([level, np.lib.stride_tricks.sliding_window_view(flat, reach, axis=1)[row, off * width]], 1)
-    order = np.argsort(np.ascontiguousarray(keys).view(f"V{reach + 2}").ravel(), kind="stable")
-    row, off, keys = row[order], off[order], keys[order]
-    length = end[row] - off
-    differs = keys[1:] != keys[:-1]
-    common = (np.where(differs.any(1), differs.argmax(1), reach + 2) - 2) // width
-    lcp = np.minimum(common, np.minimum(length[1:], length[:-1]))
-    # what stands before each suffix; a text's begin, or what lies outside the context, differs from all
-    before = texts[row, np.maximum(off - 1, 0)].astype(np.int64)
-    code = np.zeros(len(row), np.int64)
-    for j in range(width):
-        code = (code << 8) | before[:, j]
-    edge = off == begin[row]
-    code[edge] = -1 - np.arange(len(row))[edge]
-    cut = np.nonzero(lcp < least)[0] + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut, [len(row)]]) - 1
-    diverse = (last > first) & (np.minimum.reduceat(code, first) != np.maximum.reduceat(code, first))
-    for f, z in zip(first[diverse].tolist(), last[diverse].tolist()):
-        for depth, i, j in lcp_intervals(lcp[f:z].tolist(), least):
-            here = slice(f + i, f + j + 1)
-            if code[here].min() != code[here].max():
-                yield depth, row[here], off[here]
-
-
-def solve_two(contexts: list[bytes], lefts: list[int], a: Alphabet) -> list[list[tuple[int, int]]]:
-    """Two contexts have one left-diverse interval: the stretch around the anchor on which they agree."""
-    (x, y), (i, j), w = (np.frombuffer(c, np.uint8).reshape(-1, a.width) for c in contexts), lefts, a.width
-    left, right = min(i, j), min(len(x) - i, len(y) - j)
-    differs = (x[i - left : i + right] != y[j - left : j + right]).any(1) if w > 1 else (x[i - left : i + right] != y[j - left : j + right])[:, 0]
-    before, after = differs[:left][::-1], differs[left:]
-    s = -int(before.argmax()) if before.any() else -left
-    e = int(after.argmax()) if after.any() else right
-    span = [(s, e)] if e - s >= a.least else []
-    return [span, span]
-
-
-def solve_group(contexts: list[bytes], lefts: list[int], a: Alphabet, solver) -> list[list[tuple[int, int]]]:
-    """For different contexts of one anchor: (from, to) of what repeats, in symbols from the anchor on."""
-    if len(contexts) == 2:
-        return solve_two(contexts, lefts, a)
-    back = a.least - a.gram
-    places = back + a.least
-    texts = np.zeros((len(contexts), places, a.width), np.uint8)
-    begin = np.array([back - x for x in lefts])
-    end = begin + np.array([len(c) // a.width for c in contexts])
-    for r, c in enumerate(contexts):
-        texts[r, begin[r] : end[r]] = np.frombuffer(c, np.uint8).reshape(-1, a.width)
-    # every repeat holds the anchor, so those of one context are one stretch together
-    low, high = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-    every = branch_starts(texts, begin, back)
-    step = max(1, PIECE // (len(contexts) * places * a.width))
-    for s in range(0, len(every), step):
-        for depth, rows, starts in solver(texts, begin, end, every[s : s + step], a.least):
-            low[rows] = np.minimum(low[rows], starts - back)
-            high[rows] = np.maximum(high[rows], starts - back + depth)
-    return [[(x, y)] if y else [] for x, y in zip(low.tolist(), high.tolist())]
 
+def list_contexts(docs: DataFrame, a: Alphabet, id_col: str, text_col: str) -> Found:
+    """The contexts of all anchors whose gram occurs twice or more."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_key(whole_text(text_col)).alias("key"), whole_text(text_col).alias("text"))
+    # one list of anchors for all copies of a text
+    lists = rows.select("key", "text").mapInArrow(_list_anchors(a), "key binary, h array<long>, pos array<int>").dropDuplicates(["key"])
+    listed = written(lists.select("key", F.inline(F.arrays_zip("h", "pos"))), "anchors")
+    # written, so that the join below has plain exchanges on both sides and a hot hash can be split
+    shared = written(listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
+    wanted = listed.join(shared, "h").groupBy("key").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+    texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
+    asked = written(wanted.join(texts, "key").select(F.col("key").alias("k"), "rep", "at"), "asked")
+    discard(listed, shared)
+    chosen = rows.join(asked, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "text", "at")
+    places = written(chosen.mapInArrow(_list_contexts(a), PLACES), "places")
+    discard(asked)
+    # rows repeated with one id list a place twice, so places are told apart, not counted
+    spot = F.xxhash64("key", "pos")
+    contexts = places.groupBy("h", "c").agg(F.first("back").alias("back"), F.first("size").alias("size"), F.max("context").alias("context"), (F.min(spot) != F.max(spot)).alias("many"))
+    return Found(texts, places.select("c", "key", "pos"), written(contexts, "contexts"))
 
-def merged(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
 
+NODES = "g long, up long, c binary, back int, size int, context binary, lo int, hi int, many boolean"
+
+
+def _halve(a: Alphabet):
+    """From a row of a part, whose windows begin lo..hi symbols before the anchor, a row for each half of them: g tells what
+    all windows of the half share, the context is what they reach. Rows too short for that have none of the windows."""
 
-def _list_anchors(a: Alphabet):
     def run(batches):
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1)):
-                at, h = anchors(a.symbols(text.as_py().encode()), a)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([h], pa.list_(pa.int64())), pa.array([at.astype(np.int32)], pa.list_(pa.int32()))], ["key", "h", "pos"])
+            out = []
+            for g, c, back, size, context, lo, hi, many in zip(*[x.to_pylist() for x in batch.columns]):
+                units = a.units(context)
+                middle = (lo + hi) // 2
+                for first, last in ((lo, middle), (middle + 1, hi)):
+                    core = (back - first, back - last + a.least)
+                    low, high = max(0, back - last), min(size, back - first + a.least)
+                    if core[0] < 0 or core[1] > size or high - low < a.least:
+                        continue
+                    key = xxhash.xxh64_intdigest(a.cut(units[core[0] : core[1]]), (g ^ (first << 16 | last)) & (2**63 - 1))
+                    out.append((key - 2**63, g, c, back - low, high - low, a.cut(units[low:high]), first, last, many))
+            columns = list(zip(*out)) or [()] * 9
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["g", "up", "c", "back", "size", "context", "lo", "hi", "many"])
 
     return run
 
 
-def _list_contexts(a: Alphabet):
-    back = a.least - a.gram
+def split_groups(contexts: DataFrame, a: Alphabet) -> tuple[DataFrame, list[DataFrame]]:
+    """Parts of at most PART different contexts as (g, c, back, size, context, many: whether it stands at several places), and for each round of splitting its links (g, rep,
+    n, up, c, low, high): context c of part up goes on in part g as rep, as it shares the stretch low..high with
+    it. A stretch of n > 1 contexts repeats, and only one of them, rep, stays.
 
-    def run(batches):
-        for batch in batches:
-            for key, text, at in zip(batch.column(0), batch.column(1), batch.column(2)):
-                s = a.symbols(text.as_py().encode())
-                hashes = gram_hashes(s, a.gram).view(np.int64)
-                at = np.sort(np.array(at.as_py(), np.int64))
-                flat, w = s.tobytes(), a.width
-                cut = [flat[max(0, p - back) * w : (p + a.least) * w] for p in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at]), pa.repeat(key, len(at)), pa.array(at.astype(np.int32)), pa.array(np.minimum(at, back).astype(np.int32)), pa.array(cut, pa.binary())], ["h", "key", "pos", "back", "context"])
+    Each round halves the windows of the parts that are still too large, so there are log2(least) rounds at most.
+    """
 
-    return run
+    def large(rows: DataFrame) -> DataFrame:
+        return written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("g"), "large")
+
+    rows = contexts.withColumnRenamed("h", "g").select("g", "c", "back", "size", "context", F.lit(0).alias("lo"), F.lit(a.room).alias("hi"), "many")
+    parts, rounds = [], []
+    while not (over := large(rows)).isEmpty():
+        parts.append(rows.join(over, "g", "left_anti"))
+        halves = written(rows.join(over, "g").select("g", "c", "back", "size", "context", "lo", "hi", "many").mapInArrow(_halve(a), NODES), "halves")
+        kinds = written(halves.groupBy("g", "back", "context").agg(F.min("c").alias("rep"), F.first("size").alias("size"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.max("many").alias("many"), F.count(F.lit(1)).alias("n")), "kinds")
+        links = halves.join(kinds.select("g", "back", "context", "rep", "n"), ["g", "back", "context"])
+        rounds.append(links.select("g", "rep", "n", "up", "c", (-F.col("back")).alias("low"), (F.col("size") - F.col("back")).alias("high")))
+        rows = kinds.select("g", F.col("rep").alias("c"), "back", "size", "context", "lo", "hi", (F.col("many") | (F.col("n") > 1)).alias("many"))
+    return reduce(DataFrame.unionByName, [p.select("g", "c", "back", "size", "context", "many") for p in [*parts, rows]]), rounds
+
+
+def lcp_intervals(lcp: list[int], code: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """Stack scan of an enhanced suffix array: (depth, first, last) of every interval of the common-prefix tree of depth >=
+    least whose suffixes follow different symbols. lcp[i] is the common prefix of suffixes i and i + 1, code[i] what
+    stands before suffix i; intervals whose suffixes all follow one symbol extend to the left, so they are not maximal."""
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*lcp, 0]):
+        first = i
+        while stack and stack[-1][0] > depth:
+            d, first = stack.pop()
+            if len(set(code[first : i + 1])) > 1:
+                yield d, first, i
+        if depth >= least and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
 
 
-def _list_blocks(a: Alphabet):
-    """Blocks of windows, with digests of the stretch that holds all their windows and of what all share."""
+@dataclass
+class Suffixes:
+    """Sorted suffixes of many parts: row of the context, off where the suffix begins in it, code what stands before,
+    lcp with the next (0 where that is of another part or another distance from the anchor)."""
 
-    def run(batches):
-        digest, w = xxhash.xxh3_128_digest, a.width
-        for batch in batches:
-            for key, text, at in zip(batch.column(0), batch.column(1), batch.column(2)):
-                s = a.symbols(text.as_py().encode())
-                flat = s.tobytes()
-                blocks = list(window_blocks(s, a, np.array(at.as_py(), np.int64)))
-                if blocks:
-                    first, last, _, _ = zip(*blocks)
-                    outer = [digest(flat[f * w : (z + a.least) * w]) for f, z, _, _ in blocks]
-                    core = [digest(flat[i * w : j * w]) for _, _, i, j in blocks]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(blocks)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(outer, pa.binary()), pa.array(core, pa.binary())], ["key", "first", "last", "outer", "core"])
+    row: np.ndarray
+    off: np.ndarray
+    code: np.ndarray
+    lcp: np.ndarray
 
-    return run
 
+def _rows_of(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1])
+    return first, np.diff(np.concatenate([first, [len(part)]]))
+
+
+def branch_starts(texts: np.ndarray, begin: np.ndarray, part: np.ndarray, anchor: int) -> np.ndarray:
+    """(part, place) where left extension can branch: what aligned texts of a part share to the left of the anchor, over
+    neighbours in the order of their reversed left parts. Left-diverse intervals start nowhere else."""
+    width = texts.dtype.itemsize
+    left = np.ascontiguousarray(texts[:, :anchor][:, ::-1]).view(np.uint8).reshape(len(texts), -1)
+    key = np.concatenate([part.astype(">u4")[:, None].view(np.uint8), left], 1)
+    order = np.argsort(key.view(f"V{key.shape[1]}").ravel(), kind="stable")
+    key, room, p = key[order], (anchor - begin)[order], part[order]
+    same = p[1:] == p[:-1]
+    differs = key[1:, 4:] != key[:-1, 4:]
+    shared = np.where(differs.any(1), differs.argmax(1), left.shape[1]) // width if left.shape[1] else np.zeros(len(p) - 1, np.int64)
+    shared = np.minimum(shared, np.minimum(room[1:], room[:-1]))[same]
+    # rows whose left part ends early may hide what their neighbours share, so every such end is a start as well
+    return np.unique(np.concatenate([np.stack([p[1:][same], anchor - shared], 1), np.stack([part, begin], 1)]), axis=0)
+
+
+def sorted_suffixes(part: np.ndarray, back: np.ndarray, contexts: list[bytes], a: Alphabet) -> Iterator[Suffixes]:
+    """The suffixes of many parts (rows in their order) that start where left extension branches, in pieces of bounded size."""
+    codes, length = a.coded(contexts)
+    places = a.room + a.least
+    begin = a.room - back
+    end = begin + length
+    texts = np.zeros((len(contexts), 2 * places), codes.dtype)
+    at = np.cumsum(length) - length
+    texts[np.repeat(np.arange(len(length)), length), np.arange(len(codes)) - np.repeat(at - begin, length)] = codes
+    width = texts.dtype.itemsize
+    starts = branch_starts(texts[:, :places], begin, part, a.room)
+    first, count = _rows_of(part)
+    number = np.searchsorted(part[first], starts[:, 0])
+    flat = np.lib.stride_tricks.sliding_window_view(texts.view(np.uint8), places * width, axis=1)
+    most = max(1, PIECE // (places * width + 4))
+    bounds = np.nonzero(np.diff(np.cumsum(count[number]) // most, prepend=-1))[0]
+    for s, e in zip(bounds, [*bounds[1:], len(starts)]):
+        n = count[number[s:e]]
+        pair = np.repeat(np.arange(s, e), n)
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[number[s:e]], n)
+        off = np.repeat(starts[s:e, 1], n)
+        fits = (off >= begin[row]) & (off + a.least <= end[row])
+        pair, row, off = pair[fits], row[fits], off[fits]
+        if len(row) < 2:
+            continue
+        # suffixes meet at equal distance from the anchor only: otherwise one place, seen from two anchors, would match itself
+        key = np.concatenate([pair.astype(">u4")[:, None].view(np.uint8), flat[row, off * width]], 1)
+        order = np.argsort(key.view(f"V{key.shape[1]}").ravel(), kind="stable")
+        key, pair, row, off = key[order, 4:], pair[order], row[order], off[order]
+        size = end[row] - off
+        differs = key[1:] != key[:-1]
+        lcp = np.where(differs.any(1), differs.argmax(1), places * width) // width
+        lcp = np.minimum(lcp, np.minimum(size[1:], size[:-1])) * (pair[1:] == pair[:-1])
+        # a text's begin, or what lies outside the context, differs from all
+        code = texts[row, np.maximum(off - 1, 0)].astype(np.int64)
+        edge = off == begin[row]
+        code[edge] = -1 - np.arange(len(row))[edge]
+        yield Suffixes(row, off, code, lcp)
+
+
+def maximal_repeats(s: Suffixes, least: int, walk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, first, last) of every maximal repeat among sorted suffixes. walk goes through the tree of each stretch of
+    suffixes that share `least` symbols or more; of a stretch of two, the tree is one node."""
+    cut = np.nonzero(s.lcp < least)[0] + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(s.row)]]) - 1
+    diverse = (last > first) & (np.minimum.reduceat(s.code, first) != np.maximum.reduceat(s.code, first))
+    first, last = first[diverse], last[diverse]
+    two = last == first + 1
+    out = [(s.lcp[first[two]], first[two], last[two])]
+    found = [(d, f + i, f + j) for f, z in zip(first[~two].tolist(), last[~two].tolist()) for d, i, j in walk(s.lcp[f:z].tolist(), s.code[f : z + 1].tolist(), least)]
+    if found:
+        out.append(tuple(np.array(x) for x in zip(*found)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _pieces(batches) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, list[bytes]]]:
+    """Rows (g, c, back, context), sorted by g, as pieces of whole parts of two rows or more."""
+    held: list[list] = [[], [], [], []]
+
+    def ready(rows):
+        g = np.array(rows[0], np.int64)
+        first, count = _rows_of(g)
+        keep = np.nonzero(np.repeat(count > 1, count))[0].tolist()
+        return g[keep], [rows[1][i] for i in keep], np.array([rows[2][i] for i in keep], np.int64), [rows[3][i] for i in keep]
+
+    for batch in batches:
+        for x, column in zip(held, batch.columns):
+            x += column.to_pylist()
+        if len(held[0]) >= 2 * PART:
+            end = len(held[0]) - 1
+            while end and held[0][end - 1] == held[0][-1]:
+                end -= 1
+            if end:
+                yield ready([x[:end] for x in held])
+                held = [x[end:] for x in held]
+    if held[0]:
+        yield ready(held)
+
+
+def _solve(a: Alphabet, walk):
+    """From parts the stretch of each context that repeats: low and high, in symbols from the anchor on."""
 
-def _list_windows(a: Alphabet):
     def run(batches):
-        digest, w = xxhash.xxh3_128_digest, a.width
-        for batch in batches:
-            for key, text, blocks in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                flat = a.symbols(text.as_py().encode()).tobytes()
-                for x in blocks:
-                    starts = range(x["first"], x["last"] + 1)
-                    marks = [digest(flat[i * w : (i + a.least) * w]) for i in starts]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(marks)), pa.array(starts, pa.int32()), pa.array(marks, pa.binary())], ["key", "start", "window"])
+        for g, c, back, contexts in _pieces(batches):
+            if not len(g):
+                continue
+            part = np.unique(g, return_inverse=True)[1]
+            low, high = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+            for s in sorted_suffixes(part, back, contexts, a):
+                depth, first, last = maximal_repeats(s, a.least, walk)
+                # every repeat holds the anchor, so those of one context are one stretch together
+                for shift in (0, 1):
+                    two = last - first == 1
+                    r, o = s.row[first[two] + shift], s.off[first[two] + shift] - a.room
+                    np.minimum.at(low, r, o)
+                    np.maximum.at(high, r, o + depth[two])
+                for d, i, j in zip(depth[~two].tolist(), first[~two].tolist(), last[~two].tolist()):
+                    r, o = s.row[i : j + 1], s.off[i : j + 1] - a.room
+                    low[r] = np.minimum(low[r], o)
+                    high[r] = np.maximum(high[r], o + d)
+            hit = np.nonzero(high)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in hit.tolist()], pa.binary()), pa.array(low[hit].astype(np.int32)), pa.array(high[hit].astype(np.int32))], ["c", "low", "high"])
 
     return run
 
 
-def _twice(rows: DataFrame, column: str) -> DataFrame:
-    return written(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(column), "twice")
-
-
-def counted_spans(texts: DataFrame, a: Alphabet) -> DataFrame:
-    """(key, start, stop) of what repeats around hot anchors; texts: different ones as (key, text, at), at their hot
-    anchors' places. Every window belongs to one anchor and so to one block."""
-    blocks = written(texts.mapInArrow(_list_blocks(a), "key binary, first int, last int, outer binary, core binary"), "blocks")
-    whole = _twice(blocks, "outer")
-    done = blocks.join(whole, "outer", "left_semi").select("key", F.col("first").alias("start"), (F.col("last") + a.least).alias("stop"))
-    open_blocks = blocks.join(whole, "outer", "left_anti").join(_twice(blocks, "core"), "core", "left_semi")
-    # windows of a cut block may equal ones inside a stretch that repeats, so one of each such stretch is counted too
-    shown = blocks.join(whole, "outer", "left_semi").groupBy("outer").agg(F.min(F.struct("key", "first", "last", "core")).alias("x")).select("x.*")
-    shown = shown.join(open_blocks.select("core").distinct(), "core", "left_semi")
-    asked = open_blocks.select("key", "first", "last").unionByName(shown.select("key", "first", "last"))
-    asked = asked.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("blocks")).withColumnRenamed("key", "k")
-    windows = written(texts.join(asked, F.col("key") == F.col("k")).select("key", "text", "blocks").mapInArrow(_list_windows(a), "key binary, start int, window binary"), "windows")
-    open_ = windows.join(_twice(windows, "window"), "window", "left_semi").select("key", "start", (F.col("start") + a.least).alias("stop"))
-    return done.unionByName(open_)
-
-
-def _solve(a: Alphabet, solver):
-    def spans_of(members: dict[tuple[int, bytes], set]) -> Iterator[tuple[bytes, int, int]]:
-        kinds = list(members)
-        if len(kinds) == 1 and len(members[kinds[0]]) < 2:
-            return
-        found = solve_group([c for _, c in kinds], [b for b, _ in kinds], a, solver) if len(kinds) > 1 else [[]]
-        for (back, context), spans in zip(kinds, found):
-            n = len(context) // a.width
-            # the same context at two places is one repeat as long as itself
-            spans = spans + [(-back, n - back)] if len(members[back, context]) > 1 and n >= a.least else spans
-            for s, e in merged(spans):
-                for key, pos in members[back, context]:
-                    yield key, pos + s, pos + e
+def _dealt(parts: DataFrame) -> DataFrame:
+    return parts.select("g", "c", "back", "context").repartition("g").sortWithinPartitions("g")
+
+
+def repeat_spans(docs: DataFrame, a: Alphabet, walk=lcp_intervals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_key, _whole, _spans) of each different text that holds repeats: its digest, whether copies of it exist, and the
+    spans of symbols that other places share."""
+    found = list_contexts(docs, a, id_col, text_col)
+    parts, rounds = split_groups(found.contexts, a)
+    solved = _dealt(parts).mapInArrow(_solve(a, walk), "c binary, low int, high int")
+    # the same context at two places is one repeat as long as itself
+    whole = found.contexts.where(F.col("many") & (F.col("size") >= a.least)).select("c", (-F.col("back")).alias("low"), (F.col("size") - F.col("back")).alias("high"))
+    shared = [links.where("n > 1").select("c", "low", "high") for links in rounds]
+    stretches = reduce(DataFrame.unionByName, [solved, whole, *shared])
+    # written, so that the join with the places of a hot context can be split
+    stretches = written(stretches.groupBy("c").agg(F.min("low").alias("low"), F.max("high").alias("high")), "stretches")
+    discard(found.contexts)
+    spans = found.places.join(stretches, "c").select("key", F.struct((F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("stop")).alias("s"))
+    by_text = spans.groupBy("key").agg(F.collect_set("s").alias("_spans"))
+    copies = found.texts.where("n > 1").select("key", F.lit(True).alias("_whole"))
+    return copies.join(by_text, "key", "full").select(F.col("key").alias("_key"), F.coalesce("_whole", F.lit(False)).alias("_whole"), "_spans")
+
+
+def _list_groups(a: Alphabet, walk):
+    """From parts the maximal repeats themselves: (group, size, g, c, low) of each occurrence; group is a digest of the repeat."""
 
     def run(batches):
-        held, members = None, {}
-        out: list[tuple[bytes, int, int]] = []
+        for g, c, back, contexts in _pieces(batches):
+            if not len(g):
+                continue
+            out = []
+            units: dict[int, object] = {}
+            for s in sorted_suffixes(np.unique(g, return_inverse=True)[1], back, contexts, a):
+                for d, i, j in zip(*[x.tolist() for x in maximal_repeats(s, a.least, walk)]):
+                    r, at = int(s.row[i]), int(s.off[i] - a.room)
+                    if r not in units:
+                        units[r] = a.units(contexts[r])
+                    begin = at + int(back[r])
+                    # other places of the repeat surely share this anchor only if a window inside the repeat has it
+                    if -at not in anchors(a.values(units[r][begin : begin + d]), a)[0]:
+                        continue
+                    name = blake2b(a.cut(units[r][begin : begin + d]), digest_size=16).digest()
+                    out += [(name, d, int(g[k]), c[k], o) for k, o in zip(s.row[i : j + 1].tolist(), (s.off[i : j + 1] - a.room).tolist())]
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["group", "size", "g", "c", "low"])
 
-        def flush():
-            k, s, e = zip(*out) if out else ((), (), ())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["key", "start", "stop"])
+    return run
 
+
+def _name_contexts(a: Alphabet):
+    """Of rows (g, c, low, size, context) those with a window inside that has the anchor, with the digest of the context."""
+
+    def run(batches):
         for batch in batches:
-            for h, key, pos, back, context in zip(*[c.to_pylist() for c in batch.columns]):
-                if h != held:
-                    out.extend(spans_of(members) if members else ())
-                    held, members = h, {}
-                    if len(out) > 20_000:
-                        yield flush()
-                members.setdefault((back, context), set()).add((key, pos))
-        out.extend(spans_of(members) if members else ())
-        yield flush()
+            texts = batch.column(4).to_pylist()
+            has = pa.array([-low in anchors(a.values(a.units(x)), a)[0] for low, x in zip(batch.column(2).to_pylist(), texts)], pa.bool_())
+            names = pa.array([blake2b(x, digest_size=16).digest() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([names.filter(has), *[batch.column(i).filter(has) for i in (3, 0, 1, 2)]], ["group", "size", "g", "c", "low"])
 
     return run
 
 
-def repeat_spans(docs: DataFrame, a: Alphabet, solver=repeats_at, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_key, _whole, _spans) of each different text that holds repeats: its digest, whether copies of it exist, and the
-    spans of symbols that other places share. _key is the binary MD5 of the text."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("key"), whole_text(text_col).alias("text"))
-    # one list of anchors for all copies of a text
-    lists = rows.select("key", "text").mapInArrow(_list_anchors(a), "key binary, h array<long>, pos array<int>").dropDuplicates(["key"])
-    listed = written(lists.select("key", F.inline(F.arrays_zip("h", "pos"))), "anchors")
-    # written, so that the join below has plain exchanges on both sides and a hot hash can be split
-    shared = written(listed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "shared")
-    wanted = listed.join(shared, "h").groupBy("key").agg(F.collect_set(F.when(~F.col("hot"), F.col("pos"))).alias("at"), F.collect_set(F.when(F.col("hot"), F.col("pos"))).alias("hot_at"))
-    texts = written(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "texts")
-    asked = written(wanted.join(texts, "key").select(F.col("key").alias("k"), "rep", "n", "at", "hot_at"), "asked")
+GROUPS = "group binary, size int, g long, c binary, low int"
 
-    def chosen(places: str) -> DataFrame:
-        some = asked.where(F.size(places) > 0).select("k", "rep", "n", F.col(places).alias("at"))
-        return rows.join(some, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "text", "at", "n")
 
-    contexts = chosen("at").select("key", "text", "at").mapInArrow(_list_contexts(a), "h long, key binary, pos int, back int, context binary")
-    spans = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_solve(a, solver), "key binary, start int, stop int")
-    if not asked.where(F.size("hot_at") > 0).isEmpty():
-        hot = chosen("hot_at")
-        # repeated rows of one id and text are no two places
-        hot = hot.where("n = 1").unionByName(hot.where("n > 1").dropDuplicates(["key"])).drop("n")
-        spans = spans.unionByName(counted_spans(written(hot, "hot"), a))
-    by_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
-    whole = texts.where("n > 1").select("key", F.lit(True).alias("_whole"))
-    return whole.join(by_text, "key", "full").select(F.col("key").alias("_key"), F.coalesce("_whole", F.lit(False)).alias("_whole"), "_spans")
+def repeat_groups(docs: DataFrame, a: Alphabet, walk=lcp_intervals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(group, size, id, start): every group of places that share a repeat, with all occurrences, as its digest, its size and
+    where it starts, in symbols.
+
+    Repeats are maximal as far as the context of one anchor reaches (2 * least - gram symbols); of a longer one the
+    stretches around each of its anchors are listed. A repeat counts where one of its windows has the anchor, as then all
+    its places do. Copies of a text list each of its places under their own ids. Null and short texts list nothing.
+    """
+    found = list_contexts(docs, a, id_col, text_col)
+    parts, rounds = split_groups(found.contexts, a)
+    rounds = [written(links, "links") for links in rounds]
+    # what stands at several places without branching is a repeat as well
+    whole = parts.where(F.col("many") & (F.col("size") >= a.least)).select("g", "c", (-F.col("back")).alias("low"), "size", "context")
+    listed = _dealt(parts).mapInArrow(_list_groups(a, walk), GROUPS).unionByName(whole.mapInArrow(_name_contexts(a), GROUPS))
+    # the last round's parts first: each context that stands for others gives way to all of them
+    for links in reversed(rounds):
+        listed = written(listed, "groups")
+        on = links.select("g", F.col("rep").alias("c"), "up", F.col("c").alias("of"))
+        listed = listed.join(on.select("g", "c"), ["g", "c"], "left_anti").unionByName(listed.join(on, ["g", "c"]).select("group", "size", F.col("up").alias("g"), F.col("of").alias("c"), "low"))
+    at = listed.select("group", "size", "c", "low").distinct().join(found.places, "c")
+    at = at.select("group", "size", F.col("key").alias("k"), (F.col("pos") + F.col("low")).alias("start")).distinct()
+    ids = docs.select(F.col(id_col), text_key(whole_text(text_col)).alias("k"))
+    return at.join(ids, "k").select("group", "size", id_col, "start")
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
 
-def marked(docs: DataFrame, a: Alphabet, solver=repeats_at, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marked(docs: DataFrame, a: Alphabet, walk=lcp_intervals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _text, _whole, _spans) for every row of docs."""
-    found = repeat_spans(docs, a, solver, id_col, text_col)
+    found = repeat_spans(docs, a, walk, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    return rows.join(found, F.unhex(F.md5(F.col("_text").cast("binary"))) == F.col("_key"), "left").select("_id", "_text", "_whole", "_spans")
+    return rows.join(found, text_key(F.col("_text")) == F.col("_key"), "left").select("_id", "_text", "_whole", "_spans")
 
 
 def removed_spans(n: int, whole, spans, least: int) -> list[tuple[int, int]]:

@@ -1,8 +1,8 @@
 """Repeated byte strings by common-prefix intervals of enhanced suffix arrays.
 
-The suffixes of a group are sorted, neighbours' common prefixes are scanned with a stack, and every interval whose
-suffixes follow different bytes is a maximal repeat, given with all its occurrences. See repeats for how suffixes are
-dealt into groups.
+The suffixes of a part are sorted, neighbours' common prefixes are scanned with a stack, and every interval whose
+suffixes follow different bytes is a maximal repeat, given with all its occurrences (repeated_strings lists them). See
+repeats for how suffixes are dealt into parts.
 """
 
 from __future__ import annotations
@@ -13,14 +13,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Alphabet, marked, removed_spans
+from .repeats import Alphabet, marked, removed_spans, repeat_groups
 
 #: Bytes in a window, by the result contract, and in an anchor's gram.
 LEAST, GRAM = 200, 24
 
 
-def byte_symbols(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(-1, 1)
+def _coded(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(cuts), np.uint8), np.array([len(x) for x in cuts], np.int64)
+
+
+def byte_alphabet(least: int = LEAST, gram: int = GRAM) -> Alphabet:
+    return Alphabet(least, min(gram, least), lambda data: data, lambda data: np.frombuffer(data, np.uint8), lambda part: part, _coded)
+
+
+def repeated_strings(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(group, size, id, start) of every maximal repeat group of `least` bytes or more, with all its occurrences."""
+    return repeat_groups(docs, byte_alphabet(least), id_col=id_col, text_col=text_col)
 
 
 def drop_repeated_bytes(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +38,7 @@ def drop_repeated_bytes(docs: DataFrame, least: int = LEAST, id_col: str = "doc_
     Null texts count as empty: nothing to remove. Repeated rows are copies of each other, so both lose everything if
     they have `least` bytes. Null ids stay null; other columns don't matter.
     """
-    a = Alphabet(byte_symbols, 1, least, min(GRAM, least))
+    a = byte_alphabet(least)
 
     def run(batches):
         for batch in batches:
@@ -54,4 +63,5 @@ def drop_repeated_bytes(docs: DataFrame, least: int = LEAST, id_col: str = "doc_
 
 
 def suffix_digests(docs: DataFrame) -> DataFrame:
+    """The rows of drop_repeated_bytes without the bytes themselves; nulls, empties and repeats as there."""
     return drop_repeated_bytes(docs).drop("kept")

@@ -67,51 +67,92 @@ def test_substring_dedup(tables, name):
     assert rows(substring_digests(df), "n_words", "n_removed", "kept_sha256") == want
 
 
-def test_groups_against_brute_force():
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_parts_against_brute_force(kind):
+    import numpy as np
+
     from assayer.llm import repeats
-    from assayer.llm.suffix_dedup import byte_symbols
+    from assayer.llm.substring import subtree_nodes, word_alphabet
+    from assayer.llm.suffix_dedup import byte_alphabet
 
-    a = repeats.Alphabet(byte_symbols, 1, 12, 4)
+    a, walk = (byte_alphabet(12, 4), repeats.lcp_intervals) if kind == "bytes" else (word_alphabet(12, 4), subtree_nodes)
     r = random.Random(5)
     for _ in range(60):
-        gram = b"GRAM"
-        cut = [(bytes(r.choice(b"ab") for _ in range(r.randrange(9))), bytes(r.choice(b"ab") for _ in range(r.randrange(9)))) for _ in range(30)]
-        cut = list(dict.fromkeys(cut))
-        contexts, lefts = [x + gram + y for x, y in cut], [len(x) for x, _ in cut]
-        want = [repeats.merged(s) for s in repeats.solve_group(contexts, lefts, a, repeats.repeats_at)]
-        brute_spans = []
-        for i, c in enumerate(contexts):
+        rows = []
+        for g in range(4):
+            cut = [([r.choice("ab") for _ in range(r.randrange(9))], [r.choice("ab") for _ in range(r.randrange(9))]) for _ in range(r.randrange(1, 30))]
+            rows += [(g, len(x), x + list("GRAM") + y) for x, y in sorted(set(map(lambda v: (tuple(v[0]), tuple(v[1])), cut))) for x, y in [(list(x), list(y))]]
+        part, back = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+        contexts = [("" if kind == "bytes" else " ").join(x[2]).encode() for x in rows]
+        low, high = [0] * len(rows), [0] * len(rows)
+        for s in repeats.sorted_suffixes(part, back, contexts, a):
+            for d, i, j in zip(*repeats.maximal_repeats(s, a.least, walk)):
+                strings = {tuple(rows[s.row[k]][2][s.off[k] - a.room + back[s.row[k]] :][:d]) for k in range(i, j + 1)}
+                assert len(strings) == 1
+                for k in range(i, j + 1):
+                    low[s.row[k]] = min(low[s.row[k]], s.off[k] - a.room)
+                    high[s.row[k]] = max(high[s.row[k]], s.off[k] - a.room + d)
+        for i, (g, b, c) in enumerate(rows):
             mine = set()
             for o in range(len(c) - 11):
-                at = o - lefts[i]
-                if -8 <= at <= 0 and any(j != i and lefts[j] + at >= 0 and d[lefts[j] + at : lefts[j] + at + 12] == c[o : o + 12] for j, d in enumerate(contexts)):
+                at = o - b
+                if -8 <= at <= 0 and any(j != i and h == g and e + at >= 0 and d[e + at : e + at + 12] == c[o : o + 12] for j, (h, e, d) in enumerate(rows)):
                     mine.add((at, at + 12))
-            brute_spans.append(repeats.merged(mine))
-        assert want == brute_spans
+            assert repeats.merged(mine) == ([(low[i], high[i])] if high[i] else [])
 
 
+@pytest.mark.parametrize("part", [1, 3])
 @pytest.mark.parametrize("name", ["edge", "docs"])
-def test_hot_anchors_are_counted(tables, name, monkeypatch):
+def test_large_groups_are_split(tables, name, part, monkeypatch):
     from assayer.llm import repeats
 
-    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "PART", part)
     df, docs = both(tables, name)
     want = [(i, *x) for (i, _), x in zip(docs, brute.bytes_removed([t for _, t in docs]))]
     assert rows(suffix_digests(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
-    monkeypatch.setattr(repeats, "HOT", 1)
     want = [(i, *x) for (i, _), x in zip(docs, brute.words_removed([t for _, t in docs], 10))]
     assert rows(drop_repeated_words(df, 10), "n_words", "n_removed", "kept_sha256") == want
 
 
-def test_repeated_rows_of_one_id(tables, monkeypatch):
+@pytest.mark.parametrize("part", [4096, 1])
+def test_repeated_rows_of_one_id(tables, part, monkeypatch):
     from assayer.llm import repeats
 
-    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "PART", part)
     df = tables["edge"].where("doc_id < 14")
-    df = df.unionByName(df)
-    docs = 2 * [(r[0], r[1]) for r in edge_rows()[:14]]
-    want = sorted((i, *x) for (i, _), x in zip(docs, brute.words_removed([t for _, t in docs], 10)))
-    assert sorted(rows(drop_repeated_words(df, 10), "n_words", "n_removed", "kept_sha256")) == want
+    df = df.unionByName(df).unionByName(df.where("doc_id > 8").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = 2 * [(r[0], r[1]) for r in edge_rows()[:14]] + [(-1, r[1]) for r in edge_rows()[9:14]]
+    for got, want in (
+        (drop_repeated_words(df, 10).select("doc_id", "n_words", "n_removed", "kept_sha256"), brute.words_removed([t for _, t in docs], 10)),
+        (suffix_digests(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.bytes_removed([t for _, t in docs])),
+    ):
+        assert sorted((-1 if x[0] is None else x[0], *x[1:]) for x in got.collect()) == sorted((i, *x) for (i, _), x in zip(docs, want))
+
+
+@pytest.mark.parametrize("part", [4096, 2])
+def test_repeat_groups_hold_all_occurrences(tables, part, monkeypatch):
+    from assayer.llm import repeats
+    from assayer.llm.substring import repeated_passages
+    from assayer.llm.suffix_dedup import repeated_strings
+
+    monkeypatch.setattr(repeats, "PART", part)
+    df = tables["edge"].where("doc_id <> 9")
+    texts = {r[0]: (r[1] or "").encode() for r in edge_rows() if r[0] != 9}
+    for found, units, least in ((repeated_strings(df, 60), texts, 60), (repeated_passages(df, 12), {i: tuple(t.split()) for i, t in texts.items()}, 12)):
+        groups = {}
+        for x in found.collect():
+            groups.setdefault((bytes(x["group"]), x["size"]), set()).add((x["doc_id"], x["start"]))
+        covered = {i: [False] * len(u) for i, u in units.items()}
+        for (_, size), places in groups.items():
+            strings = {units[i][s : s + size] for i, s in places}
+            assert len(strings) == 1 and size >= least
+            string = strings.pop()
+            assert places == {(i, s) for i, u in units.items() for s in range(len(u) - size + 1) if u[s : s + size] == string}
+            assert len(places) > 1
+            for i, s in places:
+                covered[i][s : s + size] = [True] * size
+        want = brute.covered(list(units.values()), least)
+        assert list(covered.values()) == want
 
 
 PATTERNS = [r"foo(bar|ba+z)?qux", r"(?i:tok_?en)[:=]{1,2}x", r"[abc]+def\d{2}", r"a?b?c?", r"(one|two){2,3}three", r"x{5}y*z", r"[^a]bcd|efg.hij"]
@@ -135,15 +176,6 @@ def test_trigram_queries_hold_in_every_match(pattern):
     assert hits
 
 
-def test_substring_dedup_splits_large_groups(tables, monkeypatch):
-    from assayer.llm import substring
-
-    monkeypatch.setattr(substring, "PART", 2)
-    df, docs = both(tables, "edge")
-    want = [(i, *x) for (i, _), x in zip(docs, brute.words_removed([t for _, t in docs], 10))]
-    assert rows(drop_repeated_words(df, 10), "n_words", "n_removed", "kept_sha256") == want
-
-
 @pytest.mark.parametrize("name", ["edge", "docs"])
 def test_secrets(tables, name):
     df, docs = both(tables, name)
