@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 SCHEMA = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Entries of a worker's word cache; when it is full it starts anew, which changes no result.
-CACHE_WORDS = 400_000
+#: Entries and characters of a worker's word cache; when it is full it starts anew, which changes no result.
+CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20
+#: Words of more bytes get a tree of their own in plain lists: alone in an array, each merge would cost many array calls.
+WIDE = 1024
 NONE = np.int64(2**62)
 
 
@@ -64,7 +66,8 @@ class WordBpe:
             to.append(self.vocab[a + b])
         order = np.argsort(np.array(pairs, np.int64), kind="stable")
         self.pairs, self.rank, self.to = np.array(pairs, np.int64)[order], np.arange(len(pairs), dtype=np.int64)[order], np.array(to, np.int64)
-        # open addressing by the pair's low bits: a miss is one or two look-ups
+        self.lookup: dict[int, int] | None = None
+        self.held = 0
         self.cache: dict[str, tuple[int, str, str]] = {}
 
     def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
@@ -80,11 +83,57 @@ class WordBpe:
         for i, w in enumerate(words):
             groups.setdefault(max(2, 1 << (len(w) - 1).bit_length()), []).append(i)
         for width, members in groups.items():
+            if width > WIDE:
+                for i in members:
+                    out[i] = self._encode_long(words[i], width)
+                continue
             step = max(1, (1 << 19) // width)
             for k in range(0, len(members), step):
                 self._encode_group(words, members[k : k + step], width, out)
         return out
 
+    def _encode_long(self, word: bytes, width: int) -> list[int]:
+        """The same tree and merges as _encode_group, for one word."""
+        n, none = len(word), int(NONE)
+        symbol = [*self.plain[np.frombuffer(word, np.uint8)].tolist(), *[-1] * (width - n)]
+        symbol[n - 1] = int(self.ending[word[-1]])
+        follow, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        if self.lookup is None:
+            self.lookup = dict(zip(self.pairs.tolist(), self.rank.tolist()))
+        lookup, size, to = self.lookup, self.size, self.to
+
+        def key(place):
+            right = follow[place]
+            rank = lookup.get(symbol[place] * size + symbol[right]) if right >= 0 else None
+            return none if rank is None else rank * width + place
+
+        tree = [none] * width + [key(i) if i < n else none for i in range(width)]
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def update(place, value):
+            node = place + width
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                best = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == best:
+                    break
+                tree[node] = best
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], width)
+            gone = follow[at]
+            follow[at] = beyond = follow[gone]
+            symbol[at], symbol[gone] = int(to[rank]), -1
+            if beyond >= 0:
+                before[beyond] = at
+            update(gone, none)
+            update(at, key(at))
+            if before[at] >= 0:
+                update(before[at], key(before[at]))
+        return [x for x in symbol if x >= 0]
+
     def _encode_group(self, words, members, width, out) -> None:
         n = len(members)
         length = np.array([len(words[i]) for i in members])
@@ -159,13 +208,15 @@ class WordBpe:
 
     def learn(self, docs: list[list[str | int]]) -> None:
         """Put every word of docs into the cache: number of ids, ids spelled out, tokens joined."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS or self.held > CACHE_CHARS:
             self.cache.clear()
+            self.held = 0
         new = list({w for d in docs for w in d if w not in self.cache})
         ids = self.encode_bytes([w.encode() if isinstance(w, str) else b"!" for w in new])
         for w, x in zip(new, ids):
             x = [w] if isinstance(w, int) else x
             self.cache[w] = (len(x), " ".join(map(str, x)), self.decode(x))
+            self.held += len(w) if isinstance(w, str) else 1
 
     def decode(self, ids) -> str:
         return " ".join(self.tokens[i] for i in ids)

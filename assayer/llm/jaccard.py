@@ -1,10 +1,12 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, as a prefix-filtered set join.
-
-With all shingles in one order, two sets of at least 4/5 similarity share one of the first n - ceil(4n/5) + 1 of each, so
-only these are listed and no pair is missed. Shingles that are common in a bounded sample come last in the order, which
-keeps the lists short; the order changes the work, never the result. Candidates that sizes or positions cannot rule out
-are held against each other whole. A first round links each list to one of its members; the second compares what is
-still in different components, so a large group of near copies gives no square of links.
+"""The near-duplicate stage: SimHash links, checked by exact Jaccard similarity, and what fingerprints cannot reach.
+
+The first candidates are the links of the SimHash operator (fingerprints of the same shingles, pigeonhole blocks). Of texts
+of 0.8 similarity, fingerprints differ in ten of 64 bits on average, far more than blocks can look up, so an exact
+set join gives the rest: with all shingles in one order, two sets of at least 4/5 similarity share one of the first
+n - ceil(4n/5) + 1 of each, so only these are listed and no pair is missed. Shingles that are common in a bounded sample come
+last in the order, which keeps the lists short; the order changes the work, never the result. Candidates that sizes or
+positions cannot rule out are held against each other whole. A first round links each list to one of its members; the second
+compares what is still in different components, so a large group of near copies gives no square of links.
 """
 
 from __future__ import annotations
@@ -20,23 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, written
 from .components import components
-from .simhash import SEED
+from .simhash import SEED, fingerprint_links, majority, shingle_hashes
 
 #: Rows whose shingles are counted to find common ones, and in how many of them a common one is.
 SAMPLE, COMMON = 16384, 3
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
-    """Ascending distinct hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
-    words = text.encode().lower().split()  # ASCII white space and lower case only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64))
+    """Ascending distinct hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def similar(both, a, b):
@@ -61,13 +55,15 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
-    """Replaces the last column, the text, by the set's hash, its size and its first shingles in the order."""
+    """Replaces the last column, the text, by the set's hash, its size, the fingerprint and the first shingles in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, first = [], [], []
+            ids, sizes, fps, first = [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                h = shingle_set(text, shingle)
+                h = shingle_hashes(text, shingle)
+                fps.append(majority(h))
+                h = np.unique(h)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 p = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
@@ -75,8 +71,8 @@ def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
                 first.append(h[:p].view(np.int64))
-            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_first"])
+            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", "_first"])
 
     return run
 
@@ -138,6 +134,15 @@ def _pairs(listed: DataFrame, how: str) -> DataFrame:
     return dealt.mapInArrow(_bucket_pairs(how), "a long, b long").distinct()
 
 
+def _simhash_pairs(each: DataFrame) -> DataFrame:
+    """Pairs of sets of one fingerprint, each with the least of them, and of linked fingerprints, the least of either."""
+    least = written(each.groupBy("_fp").agg(F.min("_s").alias("_least")), "simhash")
+    links = fingerprint_links(least.select("_fp"))
+    alike = each.join(least, "_fp").where("_s <> _least").select(F.col("_least").alias("a"), F.col("_s").alias("b"))
+    linked = links.toDF("x", "y").join(least.toDF("x", "a"), "x").join(least.toDF("y", "b"), "y").select("a", "b")
+    return alike.unionByName(linked)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
 
@@ -158,15 +163,16 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts and texts without words form one group. Shingles and sets are told apart by 64-bit hashes.
     """
     columns = docs.columns
-    keys = {k: F.xxhash64(F.lit(n), F.col(id_col).isNull(), *[F.col(c) for c in columns]) for n, k in enumerate(("_k1", "_k2"))}
-    rows = docs.withColumns(keys)
-    texts = rows.select("_k1", "_k2", F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.md5(whole_text(text_col)).alias("_md5"), whole_text(text_col).alias("_text"))
+    keys = {k: F.xxhash64(F.lit(n), F.col(id_col).isNull(), *[F.col(f"`{c}`") for c in columns]) for n, k in enumerate(("_k1", "_k2"))}
+    # the row in a struct, so that no column's name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
+    texts = docs.select(*[k.alias(n) for n, k in keys.items()], F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.md5(whole_text(text_col)).alias("_md5"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
     first = texts.select("_null", "_id", "_md5", "_k1", "_k2", "_text").mapInArrow(
-        _prefixes(shingle, *_common(texts, shingle)), f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _first array<bigint>"
+        _prefixes(shingle, *_common(texts, shingle)), f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _first array<bigint>"
     )
     order = ("_null", "_id", "_md5", "_k1", "_k2")
-    each = written(first.groupBy("_s").agg(F.min(F.struct(*order, "_n", "_first")).alias("w")).select("_s", "w.*"), "shingles")
+    each = written(first.groupBy("_s").agg(F.min(F.struct(*order, "_n", "_fp", "_first")).alias("w")).select("_s", "w.*"), "shingles")
     listed = each.select("_s", "_n", F.posexplode("_first").alias("_at", "_h"))
     more = listed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_h")
     listed = written(listed.join(more, "_h").select("_h", "_n", "_at", "_s", F.col("_s").alias("_root")), "shingles")
@@ -180,7 +186,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = texts.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).select("_s", "_text").mapInArrow(hashed, "_s long, _set binary")
     sets = written(sets.groupBy("_s").agg(F.first("_set").alias("_set")), "shingles")
-    near = written(_verified(_pairs(listed, "star"), sets), "shingles")
+    near = written(_verified(_pairs(listed, "star").unionByName(_simhash_pairs(each)).distinct(), sets), "shingles")
     roots = written(components(near), "shingles")
     rooted = listed.drop("_root").join(roots.select(F.col("node").alias("_s"), F.col("root").alias("_root")), "_s", "left").withColumn("_root", F.coalesce("_root", "_s"))
     rest = written(_verified(_pairs(rooted, "rest"), sets), "shingles")
@@ -188,4 +194,4 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = each.drop("_first").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
     kept = named.groupBy("_root").agg(F.min(F.struct(*order)).alias("w")).select("w._k1", "w._k2")
     alike = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
-    return rows.join(written(kept, "shingles"), ["_k1", "_k2"]).withColumn("_r", alike).where("_r = 1").select(*columns)
+    return rows.join(written(kept, "shingles"), ["_k1", "_k2"]).withColumn("_r", alike).where("_r = 1").select("_row.*")

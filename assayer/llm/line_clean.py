@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .common import GAP, WORD, whole_text
 
-#: A line fails as navigation with so many separators, as boilerplate with one of these phrases.
-NAVIGATION = r"[|»›·•>]\s*\S+.*[|»›·•>]\s*\S+"
-BOILERPLATE = r"(?i)(lorem ipsum|javascript|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign (in|up)\b|log ?in\b|subscribe to)"
+#: A line fails as navigation with two separators that are followed by text, as boilerplate with one of these phrases
+#: (English, German, French, Spanish). Every repeat ends where the next part begins, so that long lines take linear time.
+NAVIGATION = r"[|»›·•>]\s*[^\s|»›·•>]"
+BOILERPLATE = r"(?i)(lorem ipsum|javascript|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign (in|up)\b|log ?in\b|subscribe to|datenschutzerkl|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|politique de confidentialit|tous droits r|cliquez ici|pol.tica de privacidad|todos los derechos reservados|haga clic)"
 #: A line longer than this many words must hold sentence punctuation; one with this share of marks fails.
 LEAST_WORDS, MARKS_SHARE = 12, 0.1
 
@@ -55,7 +56,7 @@ def line_fails(line: Column) -> Column:
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>!]"))
     long_line = F.length(line) >= 6 * LEAST_WORDS
     return (
-        line.rlike(NAVIGATION)
+        (F.regexp_count(line, F.lit(NAVIGATION)) >= 2)
         | line.rlike(BOILERPLATE)
         | (marks > MARKS_SHARE * F.length(line))
         | (long_line & (capitals > 0.5 * letters))
@@ -104,5 +105,6 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The metrics and verdict, without the cleaned texts."""
+    """The metrics and verdict of clean_lines, without the cleaned texts; nulls, empties and repeats as there, and an empty
+    table gives no rows."""
     return clean_lines(docs, id_col, text_col).drop("cleaned", "lost_share")

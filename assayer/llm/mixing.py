@@ -3,7 +3,7 @@
 A source with target t and size s takes every document t / s times on average: floor(t / s) copies each, and one more
 with inclusion probability frac(t / s). The flight phase moves those probabilities through the null space of two
 balancing constraints, words and documents, until each is 0 or 1 but for a few units per block. Blocks of
-bounded size fly first, what they leave flies again in blocks of blocks, then by source. Each flight spares a few
+bounded size fly first, what they leave flies again in blocks of blocks, until a source has few blocks. Each flight spares a few
 units, so that the landing has some to choose among: it takes those whose words come nearest the total.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,28 +105,35 @@ def balanced_copies(units: DataFrame) -> DataFrame:
     schema = units.schema
     blocks = F.ceil(F.col("source_docs") / BLOCK)
     block = F.pmod(F.xxhash64("_tie", "size"), blocks)
-    first = written(units.withColumn("_block", block).groupBy("source", "_block").applyInArrow(_flight(False), units.withColumn("_block", block).schema), "cube")
+    at = units.withColumn("_block", block)
     is_open = (F.col("_p") > 0) & (F.col("_p") < 1)
-    second = first.where(is_open).withColumn("_block", F.floor(F.col("_block") / FAN_IN)).groupBy("source", "_block").applyInArrow(_flight(False), first.schema)
-    second = written(second, "cube")
-    last = second.where(is_open).groupBy("source").applyInArrow(_flight(True), second.schema)
-    return first.where(~is_open).unionByName(second.where(~is_open)).unionByName(last).select(*schema.names)
+    fixed = []
+    while True:
+        at = written(at.groupBy("source", "_block").applyInArrow(_flight(False), at.schema), "cube")
+        fixed.append(at.where(~is_open))
+        at = at.where(is_open)
+        # blocks of blocks, until those of a source are few enough to land together
+        if (at.agg(F.max("_block")).first()[0] or 0) < FAN_IN:
+            break
+        at = at.withColumn("_block", F.floor(F.col("_block") / FAN_IN))
+    last = at.groupBy("source").applyInArrow(_flight(True), at.schema)
+    return reduce(DataFrame.unionByName, [*fixed, last]).select(*schema.names)
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_row: bool = False) -> DataFrame:
     """One row per input row: id, size (words), source_size, target, taken (words the mix takes, repeats counted),
-    copies (times the row is taken, at most `most`), and the kept columns.
+    copies (times the row is taken, at most `most`), and with keep_row the whole input row as the struct _row.
 
     Null texts have size 0; a null source is a source of its own, last in order; repeated rows are units of their own,
     of which equal ones may get different copies; an empty table gives no rows. Sources without words get target 0.
     Draws depend on ids and sizes alone, so reruns agree.
     """
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    sized = sized if keep else written(sized, "sized")
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_row else []))
+    sized = sized if keep_row else written(sized, "sized")
     targets = source_targets(sized, weights, most)
     units = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     whole = F.floor(ratio + EPS)
     units = units.withColumn("_whole", whole).withColumn("_p", F.when(ratio - whole < EPS, F.lit(0.0)).otherwise(ratio - whole)).withColumn("_tie", F.col("_id").cast("string"))
     drawn = balanced_copies(units).withColumn("copies", F.col("_whole") + F.col("_p").cast("long"))
-    return drawn.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return drawn.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["_row"] if keep_row else []))

@@ -17,22 +17,24 @@ from .common import whole_text
 
 #: Fixed values of the result contract: base kinds in the listed order.
 BASE_KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Proposals of this scan's own kinds, confirmed below.
+#: Proposals of this scan's own kinds, confirmed below. An IBAN may be followed by words that look like its groups.
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
 SSN = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
-#: Words that make a kind likelier when they stand within NEAR characters before the span.
+#: Whole words that make a kind likelier when they stand within NEAR characters before the span.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "address"),
-    "ip": ("ip", "server", "host", "address"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "transfer", "konto"),
+    "email": ("mail", "email", "e-mail", "contact", "write", "address", "kontakt", "courriel", "correo"),
+    "ip": ("ip", "server", "host", "address", "serveur", "servidor"),
+    "card": ("card", "visa", "mastercard", "credit", "payment", "kreditkarte", "carte", "tarjeta"),
+    "phone": ("phone", "call", "tel", "telephone", "mobile", "fax", "telefon", "telefono"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
+NEAR_WORDS = {k: re.compile(rf"(?<![^\W_])(?:{'|'.join(v)})(?![^\W_])") for k, v in CONTEXT.items()}
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
 NEAR, BONUS, LEAST_SCORE = 48, 0.3, 0.5
 SCHEMA = "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>"
@@ -59,14 +61,40 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def email_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of the local part's characters, @ and a dotted domain: from each @ leftwards, down
+    to the end of the last match, so that long runs of letters are walked once."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL_PART:
+            start -= 1
+        m = DOMAIN.match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
+def ip_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each chain of dotted numbers, four at a time from the left, if none is over 255; a chain is walked once."""
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") >= 3:
+            parts, begin = m[0].split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = begin + sum(map(len, four)) + 3
+                if all(len(x := part.lstrip("0")) < 4 and int(x or 0) <= 255 for part in four):
+                    yield begin, end
+                begin = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind's place, end, kind) of every confirmed base span. A cheap test of a character that any match must
     hold comes first; it can't change the result."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(text)]
+    out = [(s, 0, e, "email") for s, e in email_spans(text)]
     if "." in text:
-        out += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(len(x := part.lstrip("0")) < 4 and int(x or 0) <= 255 for part in m[0].split("."))]
+        out += [(s, 1, e, "ip") for s, e in ip_spans(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end(), "card"))
@@ -75,17 +103,26 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return out
 
 
+def iban_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Proposals whose check digits are right, at the longest end of a group for which they are."""
+    for m in IBAN.finditer(text):
+        ends = [m.end(), *[m.start() + i for i in range(len(m[0]) - 1, 14, -1) if m[0][i] == " "]]
+        end = next((e for e in ends if mod97(text[m.start() : e])), None)
+        if end:
+            yield m.start(), end
+
+
 def score(text: str, start: int, kind: str) -> float:
-    """The kind's prior, raised if a context word stands near before the span."""
+    """The kind's prior, raised if a context word stands near before the span. Words are whole ones, in lower case."""
     near = text[max(0, start - NEAR) : start].lower()
-    return min(1.0, PRIOR[kind] + BONUS * any(w in near for w in CONTEXT[kind]))
+    return min(1.0, PRIOR[kind] + BONUS * bool(NEAR_WORDS[kind].search(near)))
 
 
 def scan_text(text: str) -> tuple[list, list, list[float]]:
     """Base spans, all spans, and the score of each of all. Spans of own kinds need a right checksum, or for kinds
     without one a score of LEAST_SCORE; base spans stay whatever their score."""
     base = sorted(base_spans(text))
-    more = [(m.start(), 4, m.end(), "iban") for m in IBAN.finditer(text) if mod97(m[0])]
+    more = [(s, 4, e, "iban") for s, e in iban_spans(text)]
     more += [(m.start(), 5, m.end(), "ssn") for m in SSN.finditer(text) if score(text, m.start(), "ssn") >= LEAST_SCORE]
     every = sorted(base + more)
     return base, every, [score(text, s[0], s[3]) for s in every]

@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import whole_text
 
 #: The network: filter width, embedding size, filters, chunk length in bytes.
 WIDTH, DIM, FILTERS, CHUNK = 7, 8, 24, 512
-#: Bounds of the training sample: labelled rows, and chunks kept of each, spread evenly over its whole text.
-TRAIN_ROWS, TRAIN_CHUNKS = 4000, 6
+#: Bounds of the training sample: labelled rows, and bytes of their whole texts together; and chunks that are run at once.
+TRAIN_ROWS, TRAIN_BYTES, BLOCK = 4000, 16 << 20, 256
 #: Passes over the sample, more where it is small so that there are at least STEPS updates.
 EPOCHS, STEPS, BATCH, RATE, SEED, THRESHOLD = 12, 500, 64, 5e-3, 7, 0.3
 
@@ -74,6 +75,14 @@ def pooled(parts: list[bytes], tables: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(h, at[:, None, :], 1)[:, 0], at, rows
 
 
+def pooled_blocks(parts: list[bytes], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pooled, in blocks of chunks: the responses of one block at a time are held."""
+    longest = max(map(len, parts))
+    found = [pooled(parts[i : i + BLOCK], tables) for i in range(0, len(parts), BLOCK)]
+    rows = [np.pad(r, ((0, 0), (0, longest - r.shape[1]))) for _, _, r in found]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate(rows)
+
+
 def combined(top: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Per document: the maximum and the mean of its chunks' activations; owner is sorted and covers 0..n-1."""
     first = np.searchsorted(owner, np.arange(n))
@@ -84,8 +93,8 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
-    """Fits the network to documents given as chunk lists. Without both labels it stays at the labels' mean."""
+def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Fits the network to whole texts, as chunks that cover them. Without both labels it stays at the labels' mean."""
     model = start_model(seed)
     if not len(y) or y.min() == y.max():
         model["v"][:] = 0
@@ -94,15 +103,15 @@ def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = EPOCHS, seed: i
     r = np.random.default_rng(seed)
     moment = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in model.items()}
     t = 0
-    epochs = max(epochs, -(-STEPS * BATCH // len(y)))
+    epochs = max(epochs, -(-STEPS // -(-len(y) // BATCH)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 1e-4
         order = r.permutation(len(y))
         for k in range(0, len(order), BATCH):
             docs = order[k : k + BATCH]
-            parts = [c for d in docs for c in texts[d]]
-            owner = np.repeat(np.arange(len(docs)), [len(texts[d]) for d in docs])
-            top, at, rows = pooled(parts, _tables(model))
+            parts = [c for d in docs for c in chunks(texts[d])]
+            owner = np.repeat(np.arange(len(docs)), [len(chunks(texts[d])) for d in docs])
+            top, at, rows = pooled_blocks(parts, _tables(model))
             act = np.maximum(top + model["b"], 0)
             high, mean = combined(act, owner, len(docs))
             x = np.concatenate([high, mean], 1)
@@ -144,29 +153,30 @@ def is_held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int):
-    """Chunks and labels of at most `rows` labelled rows not held out, chosen by a hash of the id; each row gives at most
-    TRAIN_CHUNKS chunks, spread over its whole text, so what reaches the driver is bounded."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, most_bytes: int = TRAIN_BYTES):
+    """Whole texts and labels of labelled rows not held out, in the order of a hash of the id: at most `rows` of them and,
+    after the first, as many as `most_bytes` hold, so what reaches the driver is bounded."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = marks.where(~is_held_out(id_col)).orderBy(F.xxhash64(id_col), id_col).limit(rows).select(F.col(id_col).alias("_id"), "_y")
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(chosen, "_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                parts = chunks(t.encode())
-                pick = np.unique(np.linspace(0, len(parts) - 1, min(TRAIN_CHUNKS, len(parts))).astype(int))
-                out.append([parts[i] for i in pick])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.binary()))], ["_id", "_y", "_chunks"])
-
+    sized = texts.select("_id", "_y", F.xxhash64("_text").alias("_t"), F.octet_length("_text").alias("_n")).orderBy(F.xxhash64("_id"), "_id", "_t").limit(rows).collect()
+    total, kept = 0, []
+    for r in sized:
+        total += r["_n"]
+        if total > max(most_bytes, sized[0]["_n"]):
+            break
+        kept.append((r["_id"], r["_t"], len(kept)))
+    if not kept:
+        return [], np.zeros(0, np.float32)
+    # the texts of the chosen rows; rows repeated with id and text teach once
     kind = docs.schema[id_col].dataType.simpleString()
-    got = texts.select("_id", "_text", "_y").mapInArrow(cut, f"_id {kind}, _y int, _chunks array<binary>").orderBy("_id", "_chunks").limit(rows).collect()
-    return [[bytes(c) for c in r["_chunks"]] for r in got], np.array([r["_y"] for r in got], np.float32)
+    wanted = docs.sparkSession.createDataFrame(kept, f"_id {kind}, _t long, _at int").groupBy("_id", "_t").agg(F.min("_at").alias("_at"))
+    found = texts.withColumn("_t", F.xxhash64("_text")).join(wanted, ["_id", "_t"]).groupBy("_at").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y")).orderBy("_at").collect()
+    return [r["_text"].encode() for r in found], np.array([r["_y"] for r in found], np.float32)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted, and the kept columns.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, keep_row: bool = False) -> DataFrame:
+    """One row per input row: id, held_out, score, predicted, and with keep_row the whole input row as the struct _row.
 
     Rows whose crc32(id as text) mod 5 is 0 are held out of training. Null texts count as empty and get a score like
     any; rows with a null id or without a label are scored but teach nothing; labels other than 0 and 1 are ignored,
@@ -181,8 +191,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             marks = [score_text(t.encode(), model, tables) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(marks, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    others = [c for c in keep if c != id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), is_held_out(id_col).alias("_held"), *[F.col(c).alias(f"_keep_{c}") for c in others], whole_text(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
-    scored = rows.mapInArrow(run, schema)
-    return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"_keep_{c}").alias(c) for c in others])
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_row else []
+    rows = docs.select(F.col(id_col).alias("_id"), is_held_out(id_col).alias("_held"), *row, whole_text(text_col).alias("_text"))
+    scored = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    kept = ["_row"] if keep_row else []
+    return scored.select(F.col("_id").alias(id_col), F.col("_held").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)

@@ -30,43 +30,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mixing(spark, sf_dir):
+    """Sizes, targets and taken words of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def secrets(spark, sf_dir):
+    """Counts, digest and spans of secrets in every document."""
     return secret_digests(table(spark, sf_dir, "documents"))
 
 
 def knn(spark, sf_dir):
+    """The 20 best candidates of every 20th vector, against all vectors."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
 def quality(spark, sf_dir):
+    """Score and verdict of every document."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def rules(spark, sf_dir):
+    """Metrics and verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def suffixes(spark, sf_dir):
+    """What is left of every document without repeated 200-byte strings."""
     return suffix_digests(table(spark, sf_dir, "documents"))
 
 
 def simhash(spark, sf_dir):
+    """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def substrings(spark, sf_dir):
+    """What is left of every document without repeated 35-word passages."""
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
 def bpe(spark, sf_dir):
+    """Token counts and digests of every document."""
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def pii(spark, sf_dir):
-    return scan_pii(table(spark, sf_dir, "documents")).drop("scores")
+    """Counts, digest, spans and their scores of personal data in every document."""
+    found = scan_pii(table(spark, sf_dir, "documents"))
+    return found.withColumn("scores", F.array_join(F.transform("scores", lambda x: F.format_number(x, 2)), ","))
 
 
 def queries():

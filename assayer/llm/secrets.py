@@ -84,7 +84,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rules = [*BASE_RULES, *more_rules]
     grams = indexed_trigrams(rules)
-    df = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    df = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
     n = (len(grams) + 61) // 62
     # contains() on the bytes of the lower-cased text; the lower case lives for this projection only
     df = df.withColumn("_low", F.lower("_text"))
@@ -102,11 +102,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.concat(*[F.col(f"_s{at}") for at, r in enumerate(rules) if r.base])
     every = F.concat(*[F.col(f"_s{at}") for at in range(len(rules))])
     counts = {f"n_{r.kind}": F.size(f"_s{at}").cast("long") for at, r in enumerate(BASE_RULES)}
-    return df.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}") for c in keep], F.col("_text"), *[c.alias(k) for k, c in counts.items()], base.alias("base_spans"), every.alias("spans"))
+    return df.select(F.col("_id").alias(id_col), *[F.col(f"`_keep_{c}`") for c in keep], F.col("_text"), *[c.alias(k) for k, c in counts.items()], base.alias("base_spans"), every.alias("spans"))
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The scan's results with spans spelled out, and the base ones hashed."""
+    """The scan's results with spans spelled out, and the base ones hashed; nulls, empties and repeats as in scan_secrets."""
     found = scan_secrets(docs, id_col, text_col)
     return found.select(id_col, "n_assign", "n_access", "n_hex", F.sha2(spelled(F.col("base_spans")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
@@ -117,4 +117,4 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = scan_secrets(docs, id_col, text_col, keep=tuple(others))
     clean = F.when(F.size("spans") == 0, F.col(f"_keep_{text_col}")).otherwise(redacted(F.col("_text"), F.col("spans")))
     column = {id_col: F.col(id_col), text_col: clean}
-    return found.select(*[column.get(c, F.col(f"_keep_{c}")).alias(c) for c in docs.columns])
+    return found.select(*[column.get(c, F.col(f"`_keep_{c}`")).alias(c) for c in docs.columns])

@@ -24,22 +24,31 @@ BLOCKS = 6
 SEED = 42
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """SimHash of a text: A-Z lower-cased, words joined by a space, word shingles hashed by XXH64 (seed 42)."""
+def shingle_hashes(text: str, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included: A-Z lower-cased, words joined by a space. A shorter
+    text is one shingle, one without words has none."""
     words = text.encode().lower().split()  # ASCII white space and lower case only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: the bits that are set in over half of the hashes; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         bits = np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in np.nonzero(2 * ones > len(h))[0].tolist()))
+    return int(sum(1 << i for i in np.nonzero(2 * ones > len(h))[0].tolist())) if len(h) else 0
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -19,32 +19,43 @@ from assayer.llm.secrets import redact_secrets
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; those it rejects go."""
+    """Documents that the classifier accepts; those it rejects go.
+
+    Null texts count as empty and are scored like any; repeated rows go or stay together; null ids are scored; columns
+    of any name pass; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return classify(docs, labels, keep_row=True).where("predicted = 1").select("_row.*")
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    It is the row of the least id, null ids last, then of the least text digest; repeated rows count as one.
+    Links of the SimHash operator come first, each checked on whole shingle sets; an exact set join finds those of more
+    distant fingerprints. The row kept is that of the least id, null ids last, then of the least text digest. Rows alike in
+    all columns count as one; texts without words, null ones too, are one group; columns of any name pass.
     """
     return one_per_group(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with its secrets replaced by a mark."""
+    """Every document stays, with its secrets replaced by a mark. Null texts stay null, clean texts as they are; repeated
+    rows and null ids stay."""
     return redact_secrets(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    mixed = mix(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix takes it, none to three times.
+
+    Null and empty texts have no words; a null source is a source of its own; repeated rows are units of their own;
+    columns of any name pass; an empty table stays empty.
+    """
+    mixed = mix(docs, keep_row=True)
+    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text, a row for each row; null texts count as empty."""
     return bpe_digests(docs, tokenizer_path())
 
 
