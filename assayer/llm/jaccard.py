@@ -5,8 +5,8 @@ of 0.8 similarity, fingerprints differ in ten of 64 bits on average, far more th
 set join gives the rest: with all shingles in one order, two sets of at least 4/5 similarity share one of the first
 n - ceil(4n/5) + 1 of each, so only these are listed and no pair is missed. Shingles that are common in a bounded sample come
 last in the order, which keeps the lists short; the order changes the work, never the result. Candidates that sizes or
-positions cannot rule out are held against each other whole. A first round links each list to one of its members; the second
-compares what is still in different components, so a large group of near copies gives no square of links.
+positions cannot rule out are held against each other whole. Each list is linked
+to one of its members first; the last round compares what is still in different components, so a large group of near copies gives no square of links.
 """
 
 from __future__ import annotations
@@ -26,6 +26,12 @@ from .simhash import SEED, fingerprint_links, majority, shingle_hashes
 
 #: Rows whose shingles are counted to find common ones, and in how many of them a common one is.
 SAMPLE, COMMON = 16384, 3
+#: Components are found so often: after the SimHash links, and after each round that links lists to one member.
+ROUNDS = 2
+
+
+#: Columns of a set's parities.
+BITS = ("_p0", "_p1", "_p2", "_p3")
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -33,6 +39,13 @@ def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
+def parity(h: np.ndarray) -> tuple[int, ...]:
+    """256 bits as four longs, each bit whether an odd number of a set's hashes fall to it: two sets differ in as many members at least as
+    their bits."""
+    bits = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return tuple(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+
+
 def similar(both, a, b):
     """both / (a + b - both) >= 4/5, in integers."""
     return 9 * both >= 4 * (a + b)
@@ -48,7 +61,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["h"])
 
     taken = rows.where(F.pmod("_k1", F.lit(1 << 20)) < F.lit(-(-(SAMPLE << 20) // max(1, total))))
-    found = taken.select("_text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).collect()
+    found = written(taken.select("_text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "common").collect()
     h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
     by = np.argsort(h)
     return h[by], np.array([r["n"] for r in found], np.int64)[by]
@@ -59,40 +72,45 @@ def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, fps, first = [], [], [], []
+            ids, sizes, fps, marks, first = [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 h = shingle_hashes(text, shingle)
                 fps.append(majority(h))
                 h = np.unique(h)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
+                marks.append(parity(h))
                 p = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
                 first.append(h[:p].view(np.int64))
-            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", "_first"])
+            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(4)], pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", *BITS, "_first"])
 
     return run
 
 
 def _bucket_pairs(how: str):
-    """From rows (_h, _n, _at, _s, _root) sorted by _h and _n: pairs that sizes and positions allow. "star": those with
-    one member of the bucket; "rest": those of different roots; "held": each set that has any pair, as (a, a)."""
+    """From rows (_h, _n, _at, _s, _root and the parities) sorted by _h and _n: pairs that sizes, positions and parities allow. "star" and
+    a number: those with one member of the bucket; "rest": those of different roots; "held": each set that has any pair, as (a, a)."""
 
-    def solve(n: np.ndarray, at: np.ndarray, s: np.ndarray, root: np.ndarray):
+    def solve(n: np.ndarray, at: np.ndarray, s: np.ndarray, root: np.ndarray, bits: np.ndarray):
         a, b = [], []
         rest = n - at - 1
         last = np.searchsorted(n, 5 * n // 4, "right")  # sizes ascend
 
         def fits(i: int, lo: int, hi: int):
-            return lo + np.nonzero(similar(1 + np.minimum(rest[i], rest[lo:hi]), n[i], n[lo:hi]) & (5 * np.minimum(n[i], n[lo:hi]) >= 4 * np.maximum(n[i], n[lo:hi])))[0]
-
-        if how == "star":
-            i = len(n) // 2
+            near = lo + np.nonzero(similar(1 + np.minimum(rest[i], rest[lo:hi]), n[i], n[lo:hi]) & (5 * np.minimum(n[i], n[lo:hi]) >= 4 * np.maximum(n[i], n[lo:hi])))[0]
+            # similar sets of a and b members differ in (a + b) / 9 at most
+            apart = np.bitwise_count((bits[near] ^ bits[i]).view(np.uint64)).sum(1, dtype=np.int64)
+            return near[9 * apart <= n[i] + n[near]]
+
+        if how.startswith("star"):
+            # the least of the round's order: lists of much the same sets choose the same one, so that their pairs fall together
+            i = int(np.argmin((s ^ np.int64(int(how[4:]) * 0x1E3779B97F4A7C15 & (1 << 63) - 1)) * np.int64(0x2545F4914F6CDD1D)))
             hit = fits(i, 0, len(n))
-            hit = hit[hit != i]
+            hit = hit[(hit != i) & (root[hit] != root[i])]
             return np.full(len(hit), s[i]), s[hit]
         for i in range(len(n) - 1):
             hit = fits(i, i + 1, last[i])
@@ -108,14 +126,15 @@ def _bucket_pairs(how: str):
             a = b = np.unique(np.concatenate([a, b]))
         return a, b
 
-    def buckets(h, n, at, s, root):
+    def buckets(h, n, at, s, root, *bits):
+        bits = np.stack(bits, 1)
         bounds = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1, [len(h)]])
-        out = [solve(n[x:y], at[x:y], s[x:y], root[x:y]) for x, y in zip(bounds, bounds[1:]) if y > x + 1]
+        out = [solve(n[x:y], at[x:y], s[x:y], root[x:y], bits[x:y]) for x, y in zip(bounds, bounds[1:]) if y > x + 1]
         a, b = (np.concatenate([np.zeros(0, np.int64), *p]) for p in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 9
         for batch in batches:
             held = [np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(held, batch.columns)]
             open_ = np.nonzero(held[0] != held[0][-1])[0] if len(held[0]) else np.zeros(0, int)
@@ -130,7 +149,7 @@ def _bucket_pairs(how: str):
 
 
 def _pairs(listed: DataFrame, how: str) -> DataFrame:
-    dealt = listed.repartition("_h").sortWithinPartitions("_h", "_n", "_s").select("_h", "_n", "_at", "_s", "_root")
+    dealt = listed.repartition("_h").sortWithinPartitions("_h", "_n", "_s").select("_h", "_n", "_at", "_s", "_root", *BITS)
     return dealt.mapInArrow(_bucket_pairs(how), "a long, b long").distinct()
 
 
@@ -169,13 +188,13 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(*[k.alias(n) for n, k in keys.items()], F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.md5(whole_text(text_col)).alias("_md5"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
     first = texts.select("_null", "_id", "_md5", "_k1", "_k2", "_text").mapInArrow(
-        _prefixes(shingle, *_common(texts, shingle)), f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _first array<bigint>"
+        _prefixes(shingle, *_common(texts, shingle)), f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _p0 long, _p1 long, _p2 long, _p3 long, _first array<bigint>"
     )
     order = ("_null", "_id", "_md5", "_k1", "_k2")
-    each = written(first.groupBy("_s").agg(F.min(F.struct(*order, "_n", "_fp", "_first")).alias("w")).select("_s", "w.*"), "shingles")
-    listed = each.select("_s", "_n", F.posexplode("_first").alias("_at", "_h"))
+    each = written(first.groupBy("_s").agg(F.min(F.struct(*order, "_n", "_fp", *BITS, "_first")).alias("w")).select("_s", "w.*"), "shingles")
+    listed = each.select("_s", "_n", *BITS, F.posexplode("_first").alias("_at", "_h"))
     more = listed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_h")
-    listed = written(listed.join(more, "_h").select("_h", "_n", "_at", "_s", F.col("_s").alias("_root")), "shingles")
+    listed = written(listed.join(more, "_h").select("_h", "_n", "_at", "_s", *BITS, F.col("_s").alias("_root")), "shingles")
     # the whole sets of those that have a candidate, hashed again from their texts
     held = _pairs(listed, "held").select(F.col("a").alias("_s"))
     wanted = written(each.join(held, "_s").select("_k1", "_k2", "_s"), "shingles")
@@ -186,9 +205,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = texts.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).select("_s", "_text").mapInArrow(hashed, "_s long, _set binary")
     sets = written(sets.groupBy("_s").agg(F.first("_set").alias("_set")), "shingles")
-    near = written(_verified(_pairs(listed, "star").unionByName(_simhash_pairs(each)).distinct(), sets), "shingles")
-    roots = written(components(near), "shingles")
-    rooted = listed.drop("_root").join(roots.select(F.col("node").alias("_s"), F.col("root").alias("_root")), "_s", "left").withColumn("_root", F.coalesce("_root", "_s"))
+    near = written(_verified(_simhash_pairs(each).distinct(), sets), "shingles")
+    for at in range(ROUNDS):
+        roots = written(components(near), "shingles")
+        rooted = listed.drop("_root").join(roots.select(F.col("node").alias("_s"), F.col("root").alias("_root")), "_s", "left").withColumn("_root", F.coalesce("_root", "_s"))
+        if at < ROUNDS - 1:
+            near = written(near.unionByName(_verified(_pairs(rooted, f"star{at}"), sets)), "shingles")
     rest = written(_verified(_pairs(rooted, "rest"), sets), "shingles")
     roots = written(components(near.unionByName(rest)), "shingles")
     named = each.drop("_first").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
