@@ -48,7 +48,8 @@ def long_form(df: DataFrame, columns) -> DataFrame:
 
 
 def normalised(column: Column) -> Column:
-    return F.lower(F.trim(column.cast("string")))
+    """Lower case without white space of any kind at the ends; null stays null."""
+    return F.lower(F.regexp_replace(column.cast("string"), r"^\s+|\s+$", ""))
 
 
 def stacked(wide: DataFrame, columns, fields) -> DataFrame:

@@ -102,3 +102,48 @@ def holdout_plan(segments: DataFrame, rate: str, lift: str, traffic: str, share:
     n = sample_size(p1, p1 * (1 + F.col(lift)))
     total = 2 * n * (1 / F.lit(share) + 1 / F.lit(1 - share)) / 4
     return segments.withColumn("n_per_arm", n).withColumn("total", F.round(total, 4)).withColumn("holdout", F.round(total * share, 4)).withColumn("days", F.round(total / F.col(traffic), 4)).withColumn("underpowered", total * share < n)
+
+
+def with_labels(df: DataFrame, key: str, labels: dict, name: str = "label") -> DataFrame:
+    """df with the label of each key: a map literal instead of a join, as labels are few; unknown keys get null."""
+    cells = [F.lit(x) for kv in labels.items() for x in kv]
+    return df.withColumn(name, F.try_element_at(F.create_map(*cells), F.col(key)) if cells else F.lit(None).cast("string"))
+
+
+def in_window(df: DataFrame, ts: str, end: str, kind: str = "last_365", start: str | None = None) -> DataFrame:
+    """Rows of the days up to end, included: of the 365 days before it, of its year so far, or from a custom start on. The
+    bounds are literals, so that they reach the scan. Rows without a day go."""
+    last = F.lit(end).cast("date")
+    first = {"last_365": F.date_sub(last, 365), "year_to_date": F.trunc(last, "year"), "custom": F.lit(start or end).cast("date")}[kind]
+    return df.where(F.col(ts).cast("date").between(first, last))
+
+
+def daily(df: DataFrame, ts: str, amount: str, customer: str) -> DataFrame:
+    """day, revenue and distinct customers of each day."""
+    return df.groupBy(F.col(ts).cast("date").alias("day")).agg(F.round(F.sum(amount), 2).alias("revenue"), F.count_distinct(customer).alias("customers"))
+
+
+def top_rules(rules: DataFrame, k: int) -> DataFrame:
+    """The k best rules by lift, confidence and support, ties by name: each task keeps k."""
+    return rules.orderBy(*[F.col(c).desc() for c in ("lift", "confidence", "support")], "antecedent", "consequent").limit(k)
+
+
+def frequent_sets(df: DataFrame, basket: str, item: str, support: float, most: int = 4) -> DataFrame:
+    """(items, together, support) of every set of 1..most items that stands in a share `support` of the baskets.
+
+    Level by level: a basket is spelled out only into sets that extend a frequent one by a greater item, so the rows of a
+    level are bounded by the frequent sets its baskets hold. One count reaches the driver.
+    """
+    items = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
+    n = items.agg(F.count_distinct("basket")).first()[0]
+    count = lambda rows: rows.groupBy("items").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support * n)
+    sets = items.select("basket", F.array("item").alias("items"))
+    found = count(sets)
+    single = items.join(found.select(F.col("items")[0].alias("item")), "item", "left_semi")
+    levels = [found]
+    for _ in range(most - 1):
+        sets = sets.join(found.select("items"), "items", "left_semi")
+        sets = sets.join(single, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
+        found = count(sets)
+        levels.append(found)
+    return reduce(DataFrame.unionByName, levels).select("items", "together", F.round(F.try_divide(F.col("together"), F.lit(n)), 6).alias("support"))

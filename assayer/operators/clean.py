@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.stats import iqr_bounds, nearest_quantiles, normalised, outside
 
 #: Texts that mean null, and date layouts tried in this order.
-NULL_TOKENS = ("", "null", "none", "na", "n/a", "nan", "undefined", "-")
-DATE_LAYOUTS = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yy")
+NULL_TOKENS = ("NULL", "null", "NaN", "nan", "None", "none", "N/A", "n/a", "", " ", "?", "-", "missing", "MISSING", "undefined", "UNDEFINED")
+DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd-MMM-yy", "dd-MMM-yyyy", "yyyy/MM/dd", "dd.MM.yyyy")
+#: Layouts of the date standard form, tried in this order.
+STANDARD_LAYOUTS = ("dd-MM-yyyy", "dd-MMM-yy", "dd-MMM-yyyy", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "dd MMM yyyy", "dd MMMM yyyy")
 
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -21,8 +23,14 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("_reasons", marks)
 
 
+def trimmed(column: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def null_tokens(df: DataFrame, columns, tokens=NULL_TOKENS) -> DataFrame:
-    return df.withColumns({c: F.when(normalised(F.col(c)).isin(*tokens), None).otherwise(F.col(c)) for c in columns})
+    """Text columns with null where the text, white space at its ends aside, is one of tokens; letter case counts."""
+    return df.withColumns({c: F.when(trimmed(F.col(c)).isin(*tokens), None).otherwise(F.col(c)) for c in columns})
 
 
 def null_patterns(df: DataFrame, columns) -> DataFrame:
@@ -50,7 +58,7 @@ def convert_units(column: Column, units: dict[str, tuple[str, float]], places: i
     names, letter case aside; the first unit that fits counts. Other texts and nulls stay."""
     out = column
     for name, (to, factor) in reversed(units.items()):
-        pattern = rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*{name}\b"
+        pattern = rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*\Q{name}\E(?![A-Za-z0-9_])"
         number = F.round(F.regexp_extract(column, pattern, 1).try_cast("double") * factor, places)
         out = F.when(column.rlike(pattern), F.concat_ws(" ", number.cast("string"), F.lit(to))).otherwise(out)
     return out
@@ -86,10 +94,45 @@ def parse_date(column: Column, layouts=DATE_LAYOUTS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(column, F.lit(x)).cast("date") for x in layouts])
 
 
+def standard_date(column: Column, target: str = "yyyy-MM-dd", layouts=STANDARD_LAYOUTS) -> Column:
+    """A date's text in the target layout; texts that no layout reads stay as they are, empty ones become null."""
+    text = trimmed(column)
+    read = F.coalesce(*[F.try_to_timestamp(text, F.lit(x)) for x in layouts])
+    return F.when(text != "", F.coalesce(F.date_format(read, target), text))
+
+
+def likely_date(df: DataFrame, column: str, order_col: str, most: int = 50, least: float = 0.5) -> DataFrame:
+    """Whether over half of the first non-empty texts, by order_col, read as dates; false without any."""
+    some = df.where(trimmed(F.col(column)) != "").orderBy(order_col).limit(most)
+    reads = F.coalesce(*[F.try_to_timestamp(trimmed(F.col(column)), F.lit(x)) for x in STANDARD_LAYOUTS]).isNotNull()
+    return some.agg(F.count(F.lit(1)).alias("sampled"), F.count_if(reads).alias("dates")).withColumn("likely", F.coalesce(F.col("dates") > least * F.col("sampled"), F.lit(False)))
+
+
+def fix_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns cast to numeric, integer, boolean, date, datetime or string; what can't be read becomes null."""
+    date = lambda c: F.coalesce(*[F.try_to_timestamp(trimmed(F.col(c).cast("string")), F.lit(x)) for x in DATE_LAYOUTS])
+    how = {
+        "numeric": lambda c: F.col(c).try_cast("double"),
+        "integer": lambda c: F.col(c).try_cast("bigint"),
+        "boolean": lambda c: F.col(c).try_cast("boolean"),
+        "date": lambda c: date(c).cast("date"),
+        "datetime": date,
+        "string": lambda c: F.col(c).cast("string"),
+    }
+    return df.withColumns({c: how[t](c) for c, t in types.items()})
+
+
+def duplicate_any(df: DataFrame, kinds: dict[str, tuple]) -> DataFrame:
+    """df with _kinds: the names of the duplicate kinds (columns, loose) by which a row has copies, none if it has none."""
+    counted = {f"_n{i}": F.count(F.lit(1)).over(W.partitionBy(*[normalised(F.col(c)) if loose else F.col(c) for c in columns])) for i, (columns, loose) in enumerate(kinds.values())}
+    marks = F.array_compact(F.array(*[F.when(F.col(f"_n{i}") > 1, F.lit(k)) for i, k in enumerate(kinds)]))
+    return df.withColumns(counted).withColumn("_kinds", marks).drop(*counted)
+
+
 def duplicate_rows(df: DataFrame, columns, loose: bool = False) -> DataFrame:
     """Every copy of rows that agree on columns, nulls equal; loose: by lower-cased, trimmed text."""
     keys = [normalised(F.col(c)) if loose else F.col(c) for c in columns]
-    return df.withColumn("_copies", F.count(F.lit(1)).over(W.partitionBy(*keys))).where("_copies > 1")
+    return df.withColumn("_copies", F.count(F.lit(1)).over(W.partitionBy(*keys))).where("_copies > 1").drop("_copies")
 
 
 def conflicting_keys(df: DataFrame, keys, others) -> DataFrame:
@@ -112,14 +155,13 @@ def merge_smart(df: DataFrame, keys, order_col: str) -> DataFrame:
 
 
 def standardise(df: DataFrame, columns, case: str = "lowercase", synonyms: dict[str, str] | None = None) -> DataFrame:
-    """Trim, collapse white space, fold case, then replace synonyms, whose own case stays."""
+    """Trim, collapse white space, fold case, then replace synonyms, whose own case stays. A value is looked up once: the
+    first synonym that fits counts, and what it gives is not looked up again. Null stays null."""
     fold = {"lowercase": F.lower, "uppercase": F.upper, "titlecase": F.initcap}.get(case, lambda c: c)
     out = {}
     for c in columns:
-        x = fold(F.regexp_replace(F.trim(c), r"\s+", " "))
-        for old, new in (synonyms or {}).items():
-            x = F.when(F.lower(x) == old.lower(), F.lit(new)).otherwise(x)
-        out[c] = x
+        x = fold(F.trim(F.regexp_replace(c, r"\s+", " ")))
+        out[c] = reduce(lambda rest, kv: F.when(F.lower(x) == kv[0].lower(), F.lit(kv[1])).otherwise(rest), reversed((synonyms or {}).items()), x)
     return df.withColumns(out)
 
 
@@ -139,6 +181,7 @@ def preview_impact(df: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
     """Each rule's result against the original: rows lost and the impact class."""
     before = df.agg(F.count(F.lit(1)).alias("before"))
     parts = [r.agg(F.count(F.lit(1)).alias("after")).join(F.broadcast(before)).select(F.lit(k).alias("rule"), "before", "after") for k, r in rules.items()]
-    pct = 100.0 * (F.col("after") - F.col("before")) / F.col("before")
+    # an empty table changes by nothing
+    pct = F.coalesce(F.try_divide(100.0 * (F.col("after") - F.col("before")), F.col("before")), F.lit(0.0))
     impact = F.when(F.abs(pct) >= 10, "high").when(F.abs(pct) >= 5, "medium").otherwise("low")
     return reduce(DataFrame.unionByName, parts).withColumn("change_pct", F.round(pct, 4)).withColumn("impact", impact)

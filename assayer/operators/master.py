@@ -16,7 +16,7 @@ def key_candidates(df: DataFrame, columns) -> DataFrame:
     """Uniqueness and nulls of each column, in percent, and whether it can be a primary or an entity key."""
     n, wide = F.count(F.lit(1)), []
     for c in columns:
-        wide += [(100.0 * F.count_distinct(c) / F.nullif(F.count(c), F.lit(0))).alias(f"{c}__uniqueness"), (100.0 * (n - F.count(c)) / n).alias(f"{c}__null_pct")]
+        wide += [(100.0 * F.count_distinct(c) / F.nullif(F.count(c), F.lit(0))).alias(f"{c}__uniqueness"), F.try_divide(100.0 * (n - F.count(c)), n).alias(f"{c}__null_pct")]
     rows = stacked(df.agg(*wide), columns, ["uniqueness", "null_pct"])
     kind = F.when((F.col("uniqueness") >= 99) & (F.col("null_pct") <= 0), "primary").when(F.col("uniqueness").between(50, 99), "entity").otherwise("none")
     return rows.select("column", F.round("uniqueness", 4).alias("uniqueness"), F.round("null_pct", 4).alias("null_pct"), kind.alias("key_kind"))
@@ -26,7 +26,7 @@ def composite_keys(df: DataFrame, columns, most: int = 3, least: float = 99.0) -
     """Combinations of 2..most columns that tell rows apart; all in one aggregate."""
     combos = [c for k in range(2, most + 1) for c in combinations(columns, k)]
     wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.struct(*c)).alias("+".join(c)) for c in combos])
-    rows = F.array(*[F.struct(F.lit("+".join(c)).alias("columns"), F.round(100.0 * F.col(f"`{'+'.join(c)}`") / F.col("n"), 4).alias("uniqueness")) for c in combos])
+    rows = F.array(*[F.struct(F.lit("+".join(c)).alias("columns"), F.round(F.try_divide(100.0 * F.col(f"`{'+'.join(c)}`"), F.col("n")), 4).alias("uniqueness")) for c in combos])
     return wide.select(F.inline(rows)).where(F.col("uniqueness") >= least)
 
 
@@ -41,7 +41,7 @@ def fk_overlap(df: DataFrame, column: str, reference: DataFrame, key: str) -> Da
     """Share of distinct values that the reference holds."""
     a = df.select(F.col(column).alias("v")).where("v is not null").distinct()
     b = reference.select(F.col(key).alias("v"), F.lit(1).alias("hit")).distinct()
-    return a.join(b, "v", "left").agg(F.count(F.lit(1)).alias("distinct_values"), F.count("hit").alias("matched"), F.round(100.0 * F.count("hit") / F.count(F.lit(1)), 4).alias("overlap_pct"))
+    return a.join(b, "v", "left").agg(F.count(F.lit(1)).alias("distinct_values"), F.count("hit").alias("matched"), F.round(F.try_divide(100.0 * F.count("hit"), F.count(F.lit(1))), 4).alias("overlap_pct"))
 
 
 def enforce(df: DataFrame, allowed: dict | None = None, ranges: dict | None = None, defaults: dict | None = None) -> DataFrame:
@@ -70,16 +70,43 @@ def row_digest(columns) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
+def exact_digest(columns) -> Column:
+    """SHA-256 of the row's values, each with its length, null apart from empty: equal for equal rows only."""
+    cells = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat(*cells), 256)
+
+
 def lineage_diff(old: DataFrame, new: DataFrame, key: str, columns) -> DataFrame:
-    """Keys added, removed or changed between versions, by digest."""
-    a, b = old.select(key, row_digest(columns).alias("a")), new.select(key, row_digest(columns).alias("b"))
+    """Keys added, removed or changed between versions, by a digest that tells null from empty. Null keys match each other."""
+    a, b = old.select(F.col(key).alias("_a"), exact_digest(columns).alias("a")), new.select(F.col(key).alias("_b"), exact_digest(columns).alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-    return a.join(b, key, "full").select(key, change.alias("change")).where("change is not null")
+    return a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full").select(F.coalesce("_a", "_b").alias(key), change.alias("change")).where("change is not null")
+
+
+def column_digests(df: DataFrame, columns) -> DataFrame:
+    """(column, digest) of each column, and of the table under the name null: order-free sums of row digests, so that the
+    result doesn't depend on how rows are dealt. Empty columns have the digest of no rows."""
+    part = lambda c: F.conv(F.substring(c, 1, 15), 16, 10).cast("decimal(38,0)")
+    total = lambda c: F.sha2(F.coalesce(F.sum(part(c)), F.lit(0).cast("decimal(38,0)")).cast("string"), 256)
+    wide = df.agg(*[total(exact_digest([c])).alias(f"d{i}") for i, c in enumerate(columns)], total(exact_digest(columns)).alias("whole"))
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("digest")) for i, c in enumerate(columns)]
+    return wide.select(F.inline(F.array(*rows, F.struct(F.lit(None).cast("string").alias("column"), F.col("whole").alias("digest")))))
+
+
+def descending(df: DataFrame, column: str) -> Column:
+    """A key that orders the column backwards: numbers and times negated, texts by negated code points."""
+    kind = dict(df.dtypes)[column]
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return -F.unix_micros(F.col(column).cast("timestamp"))
+    if kind == "string":
+        return F.concat(F.transform(F.split(column, ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))
+    return -F.col(column)
 
 
-def survivor(column: str, rule: str, order_col: str, by: str | None = None, priority: dict | None = None) -> Column:
-    """The aggregate that picks a cluster's value; ties go to the first row by order_col."""
-    first = -F.col(order_col)
+def survivor(column: str, rule: str, order_col: str, by: str | None = None, priority: dict | None = None, backwards: Column | None = None) -> Column:
+    """The aggregate that picks a cluster's value; ties go to the first row by order_col, which is a number unless
+    `backwards` says how it orders backwards (see descending). Nulls never survive a value."""
+    first = -F.col(order_col) if backwards is None else backwards
     value = F.col(column)
     if rule == "most_recent":
         return F.max_by(column, F.when(value.isNotNull(), F.struct(F.col(by), first)))
@@ -92,6 +119,8 @@ def survivor(column: str, rule: str, order_col: str, by: str | None = None, prio
         return F.min_by(column, F.when(value.isNotNull(), F.col(order_col)))
     if rule == "last":
         return F.max_by(column, F.when(value.isNotNull(), F.col(order_col)))
+    if rule == "most_frequent":
+        return F.mode(column, True)
     return {"min": F.min, "max": F.max}[rule](column)
 
 
@@ -104,8 +133,8 @@ def most_frequent(df: DataFrame, keys, column: str, order_col: str) -> DataFrame
 def golden_records(df: DataFrame, match_keys, rules: dict[str, dict], order_col: str) -> DataFrame:
     """One row per cluster of equal normalised match keys: each column by its rule, and how many rows stand behind it."""
     keys = [F.coalesce(normalised(F.col(k)), F.lit("")).alias(f"key_{k}") for k in match_keys]
-    picked = [survivor(c, order_col=order_col, **how).alias(c) for c, how in rules.items()]
-    conflicts = [F.when(F.count_distinct(c) > 1, F.lit({"most_complete": 0.8, "most_recent": 0.85, "source_priority": 0.9, "min": 0.9, "max": 0.9, "first": 0.75, "last": 0.75}[how["rule"]])).otherwise(1.0) for c, how in rules.items()]
+    picked = [survivor(c, order_col=order_col, backwards=descending(df, order_col), **how).alias(c) for c, how in rules.items()]
+    conflicts = [F.when(F.count_distinct(c) > 1, F.lit({"most_complete": 0.8, "most_recent": 0.85, "source_priority": 0.9, "min": 0.9, "max": 0.9, "first": 0.75, "last": 0.75, "most_frequent": 0.8}[how["rule"]])).otherwise(1.0) for c, how in rules.items()]
     trust = reduce(lambda a, b: a + b, conflicts) / len(conflicts)
     return df.groupBy(*keys).agg(*picked, F.count(F.lit(1)).alias("source_count"), F.round(trust, 4).alias("trust_score"))
 

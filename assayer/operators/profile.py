@@ -84,7 +84,7 @@ def quality_grade(df: DataFrame, columns, multiplier: float = 1.5) -> DataFrame:
     bounds = iqr_bounds(df, columns, multiplier)
     wide = []
     for c in columns:
-        n = F.count(F.lit(1))
+        n = F.nullif(F.count(F.lit(1)), F.lit(0))  # an empty table has null scores and grade F
         wide += [
             (100.0 * F.count(c) / n).alias(f"{c}__completeness"),
             (100.0 - F.least(F.lit(20.0), 100.0 * F.sum(outside(F.col(c), bounds[c]).cast("long")) / n)).alias(f"{c}__validity"),
@@ -122,7 +122,8 @@ def readiness(df: DataFrame, columns, weights=(0.3, 0.3, 0.4), consistency: floa
     wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c_{i}") for i, c in enumerate(columns)])
     filled = reduce(lambda a, b: a + b, [F.col(f"c_{i}") for i in range(len(columns))])
     empty = reduce(lambda a, b: a + b, [(F.col(f"c_{i}") == 0).cast("int") for i in range(len(columns))])
-    done = wide.select((100.0 * filled / (F.col("n") * len(columns))).alias("completeness"), F.lit(consistency).alias("consistency"), F.greatest(F.lit(0.0), 100.0 - 15.0 * empty).alias("schema_health"))
+    # an empty table is wholly incomplete
+    done = wide.select(F.coalesce(F.try_divide(100.0 * filled, F.col("n") * len(columns)), F.lit(0.0)).alias("completeness"), F.lit(consistency).alias("consistency"), F.greatest(F.lit(0.0), 100.0 - 15.0 * empty).alias("schema_health"))
     score = weights[0] * F.col("completeness") + weights[1] * F.col("consistency") + weights[2] * F.col("schema_health")
     status = F.when(score >= 80, "ready").when(score >= 50, "needs_review").otherwise("not_ready")
     return done.select(F.round("completeness", 4).alias("completeness"), "consistency", "schema_health", F.round(score, 4).alias("score"), status.alias("status"))
@@ -148,9 +149,10 @@ def uniqueness_coverage(df: DataFrame, columns) -> DataFrame:
 
 
 def rule_coverage(df: DataFrame, rules: dict[str, Column], most_off: float = 20.0) -> DataFrame:
-    """Per named rule (a condition that rows must meet): violations and the score, all rules in one scan."""
-    broken = {k: F.sum((~F.coalesce(v, F.lit(True))).cast("long")) for k, v in rules.items()}
+    """Per named rule (a condition that rows must meet): violations and the score, all rules in one scan. Null conditions
+    break nothing; an empty table scores 100."""
+    broken = {k: F.count_if(~F.coalesce(v, F.lit(True))) for k, v in rules.items()}
     wide = []
     for k, v in broken.items():
-        wide += [v.alias(f"{k}__violations"), F.round(100.0 - F.least(F.lit(most_off), 100.0 * v / F.count(F.lit(1))), 4).alias(f"{k}__score")]
+        wide += [v.alias(f"{k}__violations"), F.round(100.0 - F.least(F.lit(most_off), F.coalesce(F.try_divide(100.0 * v, F.count(F.lit(1))), F.lit(0.0))), 4).alias(f"{k}__score")]
     return stacked(df.agg(*wide), list(rules), ["violations", "score"])
