@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.stats import linear_quantiles
+
 
 def rfm_base(df: DataFrame, customer: str, ts: str, amount: str, as_of: str) -> DataFrame:
     """recency (days to as_of), frequency and monetary per customer."""
@@ -16,9 +18,9 @@ def rfm_base(df: DataFrame, customer: str, ts: str, amount: str, as_of: str) ->
 
 
 def bin_score(df: DataFrame, columns, bins: int) -> dict[str, Column]:
-    """1 + number of distinct linear-percentile edges below the value, at most bins; one row of edges reaches the driver."""
-    edges = df.agg(*[F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias(c) for c in columns]).first()
-    return {c: F.least(F.lit(bins), 1 + reduce(lambda a, b: a + b, [(F.col(c) > e).cast("int") for e in sorted(set(edges[c] or []))], F.lit(0))).cast("long") for c in columns}
+    """1 + number of distinct linear-percentile edges below the value, at most bins come from bracketing scans."""
+    edges = linear_quantiles(df, columns, [i / bins for i in range(1, bins)])
+    return {c: F.least(F.lit(bins), 1 + reduce(lambda a, b: a + b, [(F.col(c) > e).cast("int") for e in sorted({x for x in edges[c] if x is not None})], F.lit(0))).cast("long") for c in columns}
 
 
 def rfm_scores(df: DataFrame, customer: str, ts: str, amount: str, as_of: str, bins: int = 5, weights=(33, 33, 34)) -> DataFrame:

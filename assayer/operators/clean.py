@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import iqr_bounds, nearest_quantiles, normalised, outside
+from ..functions.stats import iqr_bounds, linear_quantiles, nearest_quantiles, normalised, outside
 
 #: Texts that mean null, and date layouts tried in this order.
 NULL_TOKENS = ("NULL", "null", "NaN", "nan", "None", "none", "N/A", "n/a", "", " ", "?", "-", "missing", "MISSING", "undefined", "UNDEFINED")
@@ -41,8 +41,10 @@ def null_patterns(df: DataFrame, columns) -> DataFrame:
 def fill(df: DataFrame, column: str, strategy: str, value=None) -> DataFrame:
     """Nulls replaced by the column's mean, median or mode (the smallest if tied), or by a constant."""
     if strategy != "constant":
-        how = {"mean": F.avg(column), "median": F.median(column), "mode": F.mode(column, True)}[strategy]
-        value = df.agg(how).first()[0]
+        if strategy == "median":
+            value = linear_quantiles(df, [column], [0.5])[column][0]
+        else:
+            value = df.agg({"mean": F.avg(column), "mode": F.mode(column, True)}[strategy]).first()[0]
     return df if value is None else df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
 
 
@@ -78,7 +80,7 @@ def treat_outliers(df: DataFrame, column: str, method: str = "iqr", strategy: st
     bad = outside(F.col(column), bounds_of(df, column, method))
     if strategy == "remove":
         return df.where(~bad)
-    value = df.agg(F.avg(column) if strategy == "impute_mean" else F.median(column)).first()[0]
+    value = df.agg(F.avg(column)).first()[0] if strategy == "impute_mean" else linear_quantiles(df, [column], [0.5])[column][0]
     return df.withColumn(column, F.when(bad, F.lit(value)).otherwise(F.col(column)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import iqr_bounds, long_form, nearest_quantiles, outside, stacked
+from ..functions.stats import iqr_bounds, long_form, order_statistics, outside, stacked
 
 #: Patterns that tell personal data, tried in this order.
 PII_PATTERNS = {
@@ -20,8 +20,12 @@ PII_PATTERNS = {
 
 
 def numeric_profile(df: DataFrame, columns, multiplier: float = 1.5) -> DataFrame:
-    """One row per column: counts, moments, nearest quartiles, IQR outliers. Three scans; one row each reaches the driver."""
-    q = nearest_quantiles(df, columns, (0.25, 0.5, 0.75))
+    """One row per column: counts, moments, nearest quartiles, IQR outliers. Order statistics come from bracketing scans, the
+    rest from one aggregate; a column without values has null statistics."""
+    q, middle = {}, {}
+    found = order_statistics(df, columns, lambda n: [*[int((n - 1) * p + 0.5) for p in (0.25, 0.5, 0.75)], (n - 1) // 2, n // 2])
+    for c, v in found.items():
+        q[c], middle[c] = (v[:3], (float(v[3]) + float(v[4])) / 2) if v else ([None] * 3, None)
     bounds = {c: (None, None) if v[0] is None else (v[0] - multiplier * (v[2] - v[0]), v[2] + multiplier * (v[2] - v[0])) for c, v in q.items()}
     wide = []
     for c in columns:
@@ -32,7 +36,7 @@ def numeric_profile(df: DataFrame, columns, multiplier: float = 1.5) -> DataFram
             "min": F.min(x),
             "max": F.max(x),
             "mean": F.round(F.avg(x), 4),
-            "median": F.round(F.median(x), 4),
+            "median": F.round(F.lit(middle[c]).cast("double"), 4),
             "std": F.round(F.stddev_samp(x), 4),
             "var": F.round(F.var_samp(x), 2),
             "skew": F.round(F.skewness(x), 4),
@@ -43,7 +47,7 @@ def numeric_profile(df: DataFrame, columns, multiplier: float = 1.5) -> DataFram
             "outliers": F.sum(outside(F.col(c), bounds[c]).cast("long")),
         }
         # literals go in as aggregates, so that all stays one plan
-        wide += [(v if k not in ("p25", "p50", "p75") else F.max(v)).alias(f"{c}__{k}") for k, v in stats.items()]
+        wide += [(v if k not in ("median", "p25", "p50", "p75") else F.max(v)).alias(f"{c}__{k}") for k, v in stats.items()]
     return stacked(df.agg(*wide), columns, list(stats))
 
 

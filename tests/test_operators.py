@@ -150,3 +150,20 @@ def test_readers_and_writers(spark, tmp_path):
         readers.require(df.where("a > 9"), ["a"])
     with pytest.raises(ValueError):
         readers.require(df, ["zz"])
+
+
+@pytest.mark.parametrize("few", [20_000, 3])
+def test_order_statistics(spark, few, monkeypatch):
+    from assayer.functions import stats
+
+    monkeypatch.setattr(stats, "FEW", few)
+    r = random.Random(6)
+    rows = [(r.randrange(50) if i % 3 else None, r.gauss(0, 1), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b double, c double").repartition(5)
+    ranks = lambda n: sorted({0, 1, n // 3, n // 2, n - 2, n - 1})
+    got = stats.order_statistics(df, ["a", "b", "c"], ranks)
+    for k, c in enumerate("ab"):
+        v = sorted(x[k] for x in rows if x[k] is not None)
+        assert got[c] == [v[i] for i in ranks(len(v))]
+    assert got["c"] == []
+    assert stats.linear_quantiles(df, ["b"], [0.5])["b"][0] == pytest.approx(df.agg(F.median("b")).first()[0])
