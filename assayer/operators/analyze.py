@@ -24,7 +24,8 @@ def bin_score(df: DataFrame, columns, bins: int) -> dict[str, Column]:
 
 
 def rfm_scores(df: DataFrame, customer: str, ts: str, amount: str, as_of: str, bins: int = 5, weights=(33, 33, 34)) -> DataFrame:
-    base = rfm_base(df, customer, ts, amount, as_of)
+    # one row per customer, which the scans for the edges and the scores all read: kept, and made anew where it is lost
+    base = rfm_base(df, customer, ts, amount, as_of).persist()
     s = bin_score(base, ["recency", "frequency", "monetary"], bins)
     out = base.select("customer_id", "recency", "frequency", "monetary", (bins + 1 - s["recency"]).alias("r"), s["frequency"].alias("f"), s["monetary"].alias("m"))
     blend = (weights[0] * F.col("r") + weights[1] * F.col("f") + weights[2] * F.col("m")) / sum(weights)
