@@ -1,4 +1,4 @@
-"""Profiling: statistics, frequencies, quality scores, issues, risk, readiness and coverage."""
+"""Profiling: statistics, frequencies, quality scores, issues, personal-data rates and coverage."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ PII_PATTERNS = {
     "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
     "phone": r"^[\d\s\-\(\)\+]{10,}$",
     "ssn": r"^\d{3}-\d{2}-\d{4}$",
+    "card": r"^\d{4}[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}$",
     "zip": r"^\d{5}(-\d{4})?$",
 }
 
@@ -121,18 +122,6 @@ def pii_rates(df: DataFrame, columns) -> DataFrame:
     return rates.withColumn("pii_type", first).withColumn("risk", F.when(F.col("pii_type").isNotNull(), 80).otherwise(0).cast("long"))
 
 
-def readiness(df: DataFrame, columns, weights=(0.3, 0.3, 0.4), consistency: float = 100.0) -> DataFrame:
-    """completeness, schema_health (15 off per column without values), weighted score and status."""
-    wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"c_{i}") for i, c in enumerate(columns)])
-    filled = reduce(lambda a, b: a + b, [F.col(f"c_{i}") for i in range(len(columns))])
-    empty = reduce(lambda a, b: a + b, [(F.col(f"c_{i}") == 0).cast("int") for i in range(len(columns))])
-    # an empty table is wholly incomplete
-    done = wide.select(F.coalesce(F.try_divide(100.0 * filled, F.col("n") * len(columns)), F.lit(0.0)).alias("completeness"), F.lit(consistency).alias("consistency"), F.greatest(F.lit(0.0), 100.0 - 15.0 * empty).alias("schema_health"))
-    score = weights[0] * F.col("completeness") + weights[1] * F.col("consistency") + weights[2] * F.col("schema_health")
-    status = F.when(score >= 80, "ready").when(score >= 50, "needs_review").otherwise("not_ready")
-    return done.select(F.round("completeness", 4).alias("completeness"), "consistency", "schema_health", F.round(score, 4).alias("score"), status.alias("status"))
-
-
 def lineage_score(df: DataFrame, required) -> DataFrame:
     """100, less 20 per missing column, less up to 15 by the share of nulls where it exceeds 5 percent."""
     have = [c for c in required if c in df.columns]

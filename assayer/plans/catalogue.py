@@ -149,7 +149,7 @@ def _(s, d):
     "profile_pii",
     _union(
         f"""SELECT '{c}' AS "column", count({c}) AS "values", count(*) FILTER (regexp_matches({c}, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$')) AS email,
- count(*) FILTER (regexp_matches({c}, '^[\\d\\s\\-\\(\\)\\+]{{10,}}$')) AS phone, count(*) FILTER (regexp_matches({c}, '^\\d{{3}}-\\d{{2}}-\\d{{4}}$')) AS ssn, count(*) FILTER (regexp_matches({c}, '^\\d{{5}}(-\\d{{4}})?$')) AS zip,
+ count(*) FILTER (regexp_matches({c}, '^[\\d\\s\\-\\(\\)\\+]{{10,}}$')) AS phone, count(*) FILTER (regexp_matches({c}, '^\\d{{3}}-\\d{{2}}-\\d{{4}}$')) AS ssn, count(*) FILTER (regexp_matches({c}, '^\\d{{4}}[\\s\\-]?\\d{{4}}[\\s\\-]?\\d{{4}}[\\s\\-]?\\d{{4}}$')) AS card, count(*) FILTER (regexp_matches({c}, '^\\d{{5}}(-\\d{{4}})?$')) AS zip,
  {"'phone'" if c == 'contact' else 'NULL'} AS pii_type, {80 if c == 'contact' else 0}::BIGINT AS risk FROM (SELECT c_name, '+1-555-' || lpad(c_custkey::VARCHAR, 7, '0') AS contact FROM customer)"""
         for c in ("c_name", "contact")
     ),
@@ -159,14 +159,6 @@ def _(s, d):
     return pr.pii_rates(c, ["c_name", "contact"])
 
 
-READY = ("o_orderkey", "price", "status")
-
-
-@case("readiness_scores", f"SELECT round(c, 4) AS completeness, 100.0::DOUBLE AS consistency, 100.0::DOUBLE AS schema_health, round(0.3 * c + 0.3 * 100 + 0.4 * 100, 4) AS score, CASE WHEN 0.3 * c + 70 >= 80 THEN 'ready' ELSE 'needs_review' END AS status FROM (SELECT 100.0 * (count(o_orderkey) + count(price) + count(status)) / (3 * count(*)) AS c FROM ({DIRTY}))")
-def _(s, d):
-    return pr.readiness(dirty_orders(s, d), READY)
-
-
 @case("governance_lineage", f"SELECT round(100.0 - 20 - CASE WHEN p > 5 THEN least(15.0, p / 10) ELSE 0 END, 4) AS score FROM (SELECT 100.0 * (count(*) - count(price)) / count(*) AS p FROM ({DIRTY}))")
 def _(s, d):
     return pr.lineage_score(dirty_orders(s, d), ["o_orderkey", "price", "owner"])
@@ -592,4 +584,4 @@ def _(s, d):
     return an.holdout_plan(seg, "rate", "lift", "traffic")
 
 
-from . import catalogue_more  # noqa: E402, F401  registers its cases
+from . import catalogue_more, catalogue_trust  # noqa: E402, F401  register their cases

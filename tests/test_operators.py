@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.similarity import indel_ratio, jaro_winkler, metaphone, token_sort_ratio
-from assayer.operators import analyze, clean, contract, control, drift, issues, master, match, profile
+from assayer.operators import analyze, clean, contract, control, drift, governance, issues, master, match, profile
 from assayer.plans import report
 from assayer.sources import readers
 
@@ -27,7 +27,10 @@ def test_every_operator_takes_edge_frames(frame):
     got = [
         profile.numeric_profile(frame, ["v"]), profile.string_profile(frame, ["t"]), profile.top_values(frame, ["t", "v"]), profile.entropy(frame, ["t"]),
         profile.quality_grade(frame, ["v"]), profile.zscore_issues(frame, ["k"], "v"), profile.iqr_issues(frame, ["k"], "v"), profile.pii_rates(frame, ["t"]),
-        profile.readiness(frame, ["t", "v"]), profile.lineage_score(frame, ["t", "z"]), profile.consent_issues(frame, ["k"], "t"), profile.uniqueness_coverage(frame, ["t"]), profile.rule_coverage(frame, {"r": rule}),
+        governance.readiness(frame, ["t", "v"]), governance.readiness(frame, ["t", "n"], order_col="k"), governance.readiness_deductions(frame.withColumnRenamed("d", "date"), ["k", "v", "date"]),
+        governance.governance_scores(frame, ["t", "z"], ["d"], ["n"], consent_col="t", class_col="n"), governance.public_pii(frame, ["k"], "n"), governance.missing_required(frame, ["k"], ["t", "z"], ["d"], ["n"]), governance.missing_required(frame, ["k"]),
+        governance.field_risks(frame, ["t", "v", "k"]), governance.overall_risk(governance.field_risks(frame, ["t", "v", "k"])),
+        profile.lineage_score(frame, ["t", "z"]), profile.consent_issues(frame, ["k"], "t"), profile.uniqueness_coverage(frame, ["t"]), profile.rule_coverage(frame, {"r": rule}),
         drift.psi_numeric(frame, frame, "v"), drift.psi_categorical(frame, frame, "t"), drift.ecdf_distances(frame, frame, "k"), drift.js_distance(frame, frame, "k"), drift.zscore_rows(frame, frame, "k", "v"), drift.new_categories(frame, frame, "t"),
         clean.quarantine(frame, {"r": rule}), clean.null_tokens(frame, ["t", "n"]), clean.null_patterns(frame, ["t", "v"]), clean.treat_outliers(frame, "v"), clean.infer_types(frame, ["t", "n"]), clean.fix_types(frame, {"n": "numeric", "d": "date"}),
         clean.duplicate_rows(frame, ["t"], True), clean.duplicate_any(frame, {"t": (("t",), True)}), clean.conflicting_keys(frame, ["t"], ["v"]), clean.keep_first(frame, ["t"], "k"), clean.merge_smart(frame, ["t"], "k"), clean.standardise(frame, ["t"]), clean.variations(frame, "t"),
