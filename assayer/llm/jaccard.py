@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import discard, whole_text, written
 from .components import components
 from .simhash import SEED, fingerprint_links, majority, shingle_hashes
 
@@ -205,15 +205,21 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sets = texts.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).select("_s", "_text").mapInArrow(hashed, "_s long, _set binary")
     sets = written(sets.groupBy("_s").agg(F.first("_set").alias("_set")), "shingles")
+    discard(wanted)
     near = written(_verified(_simhash_pairs(each).distinct(), sets), "shingles")
     for at in range(ROUNDS):
         roots = written(components(near), "shingles")
         rooted = listed.drop("_root").join(roots.select(F.col("node").alias("_s"), F.col("root").alias("_root")), "_s", "left").withColumn("_root", F.coalesce("_root", "_s"))
         if at < ROUNDS - 1:
-            near = written(near.unionByName(_verified(_pairs(rooted, f"star{at}"), sets)), "shingles")
+            more = written(near.unionByName(_verified(_pairs(rooted, f"star{at}"), sets)), "shingles")
+            discard(near, roots)
+            near = more
     rest = written(_verified(_pairs(rooted, "rest"), sets), "shingles")
+    # the largest tables go as soon as nothing reads them
+    discard(listed, sets, roots)
     roots = written(components(near.unionByName(rest)), "shingles")
     named = each.drop("_first").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
-    kept = named.groupBy("_root").agg(F.min(F.struct(*order)).alias("w")).select("w._k1", "w._k2")
+    kept = written(named.groupBy("_root").agg(F.min(F.struct(*order)).alias("w")).select("w._k1", "w._k2"), "shingles")
+    discard(each, near, rest, roots)
     alike = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))
-    return rows.join(written(kept, "shingles"), ["_k1", "_k2"]).withColumn("_r", alike).where("_r = 1").select("_row.*")
+    return rows.join(kept, ["_k1", "_k2"]).withColumn("_r", alike).where("_r = 1").select("_row.*")
