@@ -4,8 +4,9 @@ The first candidates are the links of the SimHash operator (fingerprints of the
 of 0.8 similarity, fingerprints differ in ten of 64 bits on average, far more than blocks can look up, so an exact
 set join gives the rest: with all shingles in one order, two sets of at least 4/5 similarity share one of the first
 n - ceil(4n/5) + 1 of each, so only these are listed and no pair is missed. Shingles that are common in a bounded sample come
-last in the order, which keeps the lists short; the order changes the work, never the result. Candidates that sizes or
-positions cannot rule out are held against each other whole. Each list is linked
+last in the order, which keeps the lists short; the order changes the work, never the result. Candidates that sizes,
+positions and a few parities cannot rule out meet by sketches first, which grow with the sets and bound their difference
+from below, so no similar pair is lost; the pairs left are held against each other whole. Each list is linked
 to one of its members first; the last round compares what is still in different components, so a large group of near copies gives no square of links.
 """
 
@@ -46,6 +47,24 @@ def parity(h: np.ndarray) -> tuple[int, ...]:
     return tuple(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set by the low bits of its hashes: a power of two of bits, over twice the set's size. Two sets differ in as many
+    members at least as their sketches, folded to one length, differ in bits."""
+    m = 1 << max(8, (2 * len(h)).bit_length())
+    bits = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ once the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def similar(both, a, b):
     """both / (a + b - both) >= 4/5, in integers."""
     return 9 * both >= 4 * (a + b)
@@ -68,11 +87,11 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
-    """Replaces the last column, the text, by the set's hash, its size, the fingerprint and the first shingles in the order."""
+    """Replaces the last column, the text, by the set's hash, its size, the fingerprint, parities, sketch and the first shingles in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, fps, marks, first = [], [], [], [], []
+            ids, sizes, fps, marks, sketches, first = [], [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 h = shingle_hashes(text, shingle)
                 fps.append(majority(h))
@@ -80,20 +99,21 @@ def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 marks.append(parity(h))
+                sketches.append(sketch(h))
                 p = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
                 first.append(h[:p].view(np.int64))
-            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(4)], pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", *BITS, "_first"])
+            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(4)], pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", *BITS, "_sketch", "_first"])
 
     return run
 
 
 def _bucket_pairs(how: str):
     """From rows (_h, _n, _at, _s, _root and the parities) sorted by _h and _n: pairs that sizes, positions and parities allow. "star" and
-    a number: those with one member of the bucket; "rest": those of different roots; "held": each set that has any pair, as (a, a)."""
+    a number: those with one member of the bucket; "rest": those of different roots."""
 
     def solve(n: np.ndarray, at: np.ndarray, s: np.ndarray, root: np.ndarray, bits: np.ndarray):
         a, b = [], []
@@ -114,17 +134,13 @@ def _bucket_pairs(how: str):
             return np.full(len(hit), s[i]), s[hit]
         for i in range(len(n) - 1):
             hit = fits(i, i + 1, last[i])
-            if how == "rest":
-                hit = hit[root[hit] != root[i]]
+            hit = hit[root[hit] != root[i]]
             if len(hit):
                 a.append(np.full(len(hit), s[i]))
                 b.append(s[hit])
         if not a:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = np.concatenate(a), np.concatenate(b)
-        if how == "held":
-            a = b = np.unique(np.concatenate([a, b]))
-        return a, b
+        return np.concatenate(a), np.concatenate(b)
 
     def buckets(h, n, at, s, root, *bits):
         bits = np.stack(bits, 1)
@@ -162,17 +178,46 @@ def _simhash_pairs(each: DataFrame) -> DataFrame:
     return alike.unionByName(linked)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def _meet(pairs: DataFrame, of: DataFrame, passes) -> DataFrame:
+    """The pairs (a, b) that pass by what of, a table by _s, holds of a and then of b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([np.frombuffer(v, "<u8") for v in batch.column(i).to_pylist()] for i in (2, 3))
-            ok = [bool(similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))) for p, q in zip(x, y)]
+            ok = [passes(*row) for row in zip(*[batch.column(i).to_pylist() for i in range(2, batch.num_columns)])]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    both = pairs.join(sets.toDF("a", "_x"), "a").join(sets.toDF("b", "_y"), "b")
-    return both.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    values = [c for c in of.columns if c != "_s"]
+    side = lambda k: of.select(F.col("_s").alias(k), *[F.col(c).alias(f"{k}{c}") for c in values])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", *[f"{k}{c}" for k in "ab" for c in values]).mapInArrow(run, "a long, b long")
+
+
+def _may_be_similar(n: int, x: bytes, m: int, y: bytes) -> bool:
+    # similar sets of n and m members differ in (n + m) / 9 at most
+    return 9 * sketches_apart(x, y) <= n + m
+
+
+def _are_similar(x: bytes, y: bytes) -> bool:
+    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    return bool(similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
+
+
+def _similar_pairs(pairs: DataFrame, each: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar, written: sketches first, then the sets of the pairs left, hashed
+    again from their texts."""
+    left = written(_meet(pairs.distinct(), each.select("_s", "_n", "_sketch"), _may_be_similar), "pairs")
+    members = left.select(F.col("a").alias("_s")).unionByName(left.select(F.col("b").alias("_s"))).distinct()
+    wanted = written(each.select("_k1", "_k2", "_s").join(members, "_s"), "shingles")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["_s", "_set"])
+
+    sets = texts.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).dropDuplicates(["_s"]).select("_s", "_text").mapInArrow(hashed, "_s long, _set binary")
+    sets = written(sets, "shingles")
+    out = written(_meet(left, sets, _are_similar), "pairs")
+    discard(left, wanted, sets)
+    return out
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -187,38 +232,31 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
     texts = docs.select(*[k.alias(n) for n, k in keys.items()], F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.md5(whole_text(text_col)).alias("_md5"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
+    marks = ("_n", "_fp", *BITS, "_sketch")
     first = texts.select("_null", "_id", "_md5", "_k1", "_k2", "_text").mapInArrow(
-        _prefixes(shingle, *_common(texts, shingle)), f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _p0 long, _p1 long, _p2 long, _p3 long, _first array<bigint>"
+        _prefixes(shingle, *_common(texts, shingle)),
+        f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _p0 long, _p1 long, _p2 long, _p3 long, _sketch binary, _first array<bigint>",
     )
     order = ("_null", "_id", "_md5", "_k1", "_k2")
-    each = written(first.groupBy("_s").agg(F.min(F.struct(*order, "_n", "_fp", *BITS, "_first")).alias("w")).select("_s", "w.*"), "shingles")
-    listed = each.select("_s", "_n", *BITS, F.posexplode("_first").alias("_at", "_h"))
-    more = listed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_h")
-    listed = written(listed.join(more, "_h").select("_h", "_n", "_at", "_s", *BITS, F.col("_s").alias("_root")), "shingles")
-    # the whole sets of those that have a candidate, hashed again from their texts
-    held = _pairs(listed, "held").select(F.col("a").alias("_s"))
-    wanted = written(each.join(held, "_s").select("_k1", "_k2", "_s"), "shingles")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["_s", "_set"])
-
-    sets = texts.select("_k1", "_k2", "_text").join(wanted, ["_k1", "_k2"]).select("_s", "_text").mapInArrow(hashed, "_s long, _set binary")
-    sets = written(sets.groupBy("_s").agg(F.first("_set").alias("_set")), "shingles")
-    discard(wanted)
-    near = written(_verified(_simhash_pairs(each).distinct(), sets), "shingles")
+    each = written(first.groupBy("_s").agg(F.min(F.struct(*order, *marks, "_first")).alias("w")).select("_s", "w.*"), "shingles")
+    # shingles of one set alone go before anything wide is joined
+    alone = F.count(F.lit(1)).over(W.partitionBy("_h")) == 1
+    shared = each.select("_s", F.posexplode("_first").alias("_at", "_h")).select("_h", "_s", "_at", alone.alias("_alone")).where("not _alone").drop("_alone")
+    listed = written(shared.join(each.select("_s", "_n", *BITS), "_s").select("_h", "_n", "_at", "_s", *BITS), "shingles")
+    near = _similar_pairs(_simhash_pairs(each), each, texts, shingle)
     for at in range(ROUNDS):
         roots = written(components(near), "shingles")
-        rooted = listed.drop("_root").join(roots.select(F.col("node").alias("_s"), F.col("root").alias("_root")), "_s", "left").withColumn("_root", F.coalesce("_root", "_s"))
+        rooted = listed.join(roots.select(F.col("node").alias("_s"), F.col("root").alias("_root")), "_s", "left").withColumn("_root", F.coalesce("_root", "_s"))
         if at < ROUNDS - 1:
-            more = written(near.unionByName(_verified(_pairs(rooted, f"star{at}"), sets)), "shingles")
-            discard(near, roots)
+            found = _similar_pairs(_pairs(rooted, f"star{at}"), each, texts, shingle)
+            more = written(near.unionByName(found), "shingles")
+            discard(near, roots, found)
             near = more
-    rest = written(_verified(_pairs(rooted, "rest"), sets), "shingles")
+    rest = _similar_pairs(_pairs(rooted, "rest"), each, texts, shingle)
     # the largest tables go as soon as nothing reads them
-    discard(listed, sets, roots)
+    discard(listed, roots)
     roots = written(components(near.unionByName(rest)), "shingles")
-    named = each.drop("_first").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
+    named = each.drop("_first", "_sketch").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
     kept = written(named.groupBy("_root").agg(F.min(F.struct(*order)).alias("w")).select("w._k1", "w._k2"), "shingles")
     discard(each, near, rest, roots)
     alike = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))

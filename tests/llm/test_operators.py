@@ -503,3 +503,18 @@ def test_query_equals_sql(spark, sf_dir, name):
     from ..compare import by_spark, by_sql
 
     assert by_spark(Q.queries()[name](spark, sf_dir)) == by_sql(Q.oracle_sql()[name], sf_dir)
+
+
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    from assayer.llm.jaccard import sketch, sketches_apart
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 100, 129, 700, 5000):
+        for m in (0, 1, 90, 640, 1300, 5000):
+            pool = r.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[: n // 2], pool[n:]]))
+            apart = len(np.setxor1d(x, y))
+            assert sketches_apart(sketch(x), sketch(y)) == sketches_apart(sketch(y), sketch(x)) <= apart
+            assert sketches_apart(sketch(x), sketch(x)) == 0
