@@ -584,4 +584,4 @@ def _(s, d):
     return an.holdout_plan(seg, "rate", "lift", "traffic")
 
 
-from . import catalogue_more, catalogue_trust  # noqa: E402, F401  register their cases
+from . import catalogue_more, catalogue_names, catalogue_trust  # noqa: E402, F401  register their cases

@@ -170,3 +170,16 @@ def test_order_statistics(spark, few, monkeypatch):
         assert got[c] == [v[i] for i in ranks(len(v))]
     assert got["c"] == []
     assert stats.linear_quantiles(df, ["b"], [0.5])["b"][0] == pytest.approx(df.agg(F.median("b")).first()[0])
+
+
+def test_column_names(spark):
+    from assayer.operators.semantics import column_semantics, meaning, standard_names
+
+    assert meaning("CUST_ID ") == ("customer_id", "mapped", 0.95, "standard_variant")
+    assert meaning("age") == ("age", "mapped", 1.0, "standard")
+    assert meaning("x", {"x": "y"}) == ("y", "mapped", 1.0, "custom")
+    assert meaning("ship_time", threshold=0.8) == ("date", "low_confidence", 0.7, "pattern_detection")
+    assert meaning("ship_time", hints=False) == ("ship_time", "unmapped", 0.0, None)
+    df = spark.createDataFrame([], "`qty.` int, price int, cost int, qty int, `` int")
+    assert column_semantics(df).count() == 5
+    assert standard_names(df).columns == ["quantity", "price", "cost", "qty", ""]
