@@ -23,7 +23,7 @@ from .common import whole_text
 
 SCHEMA = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries and characters of a worker's word cache; when it is full it starts anew, which changes no result.
-CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20
+CACHE_WORDS, CACHE_CHARS = 100_000, 4 << 20
 #: Words of more bytes get a tree of their own in plain lists: alone in an array, each merge would cost many array calls.
 WIDE = 1024
 NONE = np.int64(2**62)

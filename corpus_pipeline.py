@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm.bpe import bpe_digests
-from assayer.llm.common import written
+from assayer.llm.common import small_batches, written
 from assayer.llm.jaccard import one_per_group
 from assayer.llm.mixing import mix
 from assayer.llm.quality_cnn import classify
@@ -24,6 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null texts count as empty and are scored like any; repeated rows go or stay together; null ids are scored; columns
     of any name pass; an empty table stays empty.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return classify(docs, labels, keep_row=True).where("predicted = 1").select("_row.*")
 
@@ -35,6 +36,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     distant fingerprints. The row kept is that of the least id, null ids last, then of the least text digest. Rows alike in
     all columns count as one; texts without words, null ones too, are one group; columns of any name pass.
     """
+    small_batches(spark)
     return one_per_group(docs)
 
 
@@ -50,12 +52,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no words; a null source is a source of its own; repeated rows are units of their own;
     columns of any name pass; an empty table stays empty.
     """
+    small_batches(spark)
     mixed = mix(docs, keep_row=True)
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, a row for each row; null texts count as empty."""
+    small_batches(spark)
     return bpe_digests(docs, tokenizer_path())
 
 

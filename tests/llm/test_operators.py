@@ -518,3 +518,25 @@ def test_sketches_never_exceed_the_difference():
             apart = len(np.setxor1d(x, y))
             assert sketches_apart(sketch(x), sketch(y)) == sketches_apart(sketch(y), sketch(x)) <= apart
             assert sketches_apart(sketch(x), sketch(x)) == 0
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    """A worker gets a few megabytes of text at once, not 10 000 rows, and a smaller setting stays."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from assayer.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    try:
+        for was, most in (("64m", common.BATCH_BYTES), ("100k", 100 << 10)):
+            spark.conf.set(common.BATCH_SETTING, was)
+            corpus_pipeline.bpe_encoding(spark, spark.createDataFrame([], "doc_id long, text string"), "")
+            texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+            assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < 1.1 * most
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
