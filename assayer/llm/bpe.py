@@ -23,7 +23,7 @@ from .common import whole_text
 
 SCHEMA = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries and characters of a worker's word cache; when it is full it starts anew, which changes no result.
-CACHE_WORDS, CACHE_CHARS = 100_000, 4 << 20
+CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20
 #: Words of more bytes get a tree of their own in plain lists: alone in an array, each merge would cost many array calls.
 WIDE = 1024
 NONE = np.int64(2**62)
@@ -43,7 +43,8 @@ class WordBpe:
     text first. The file has no decoder, so decoding joins the tokens with single spaces.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: tuple[int, int] = (CACHE_WORDS, CACHE_CHARS)):
+        self.most_words, self.most_chars = cache
         data = json.load(open(path, encoding="utf-8"))
         model = data["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -208,7 +209,7 @@ class WordBpe:
 
     def learn(self, docs: list[list[str | int]]) -> None:
         """Put every word of docs into the cache: number of ids, ids spelled out, tokens joined."""
-        if len(self.cache) > CACHE_WORDS or self.held > CACHE_CHARS:
+        if len(self.cache) > self.most_words or self.held > self.most_chars:
             self.cache.clear()
             self.held = 0
         new = list({w for d in docs for w in d if w not in self.cache})
@@ -227,25 +228,25 @@ class WordBpe:
         return [int(x) for w in docs[0] for x in self.cache[w][1].split(" ")]
 
 
-def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", cache: tuple[int, int] = (CACHE_WORDS, CACHE_CHARS)) -> DataFrame:
     """One row per input row: id, number of tokens, SHA-256 of the ids and of the decoded text.
 
-    tokenizer: the file's path, on every executor. Null texts count as empty (no tokens); repeated rows are each
+    tokenizer: the file's path, on every executor; cache: words and characters that a worker keeps. Null texts count as empty (no tokens); repeated rows are each
     encoded; null ids stay null; other columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
         for batch in batches:
-            bpe = bpe or WordBpe(tokenizer)
+            bpe = bpe or WordBpe(tokenizer, cache)
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 split = [bpe.pieces(t) for t in part.column(1).to_pylist()]
                 bpe.learn(split)
-                cache = bpe.cache
+                known = bpe.cache
                 n, ids, decoded = [], [], []
                 for words in split:
-                    found = [cache[w] for w in words]
+                    found = [known[w] for w in words]
                     n.append(sum(f[0] for f in found))
                     ids.append(hashlib.sha256(" ".join([f[1] for f in found]).encode()).hexdigest())
                     decoded.append(hashlib.sha256(" ".join([f[2] for f in found]).encode()).hexdigest())

@@ -60,7 +60,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, a row for each row; null texts count as empty."""
     small_batches(spark)
-    return bpe_digests(docs, tokenizer_path())
+    return bpe_digests(docs, tokenizer_path(), cache=(100_000, 4 << 20))  # workers of earlier stages leave less memory than the operator has alone
 
 
 STAGES = [
