@@ -7,7 +7,9 @@ n - ceil(4n/5) + 1 of each, so only these are listed and no pair is missed. Shin
 last in the order, which keeps the lists short; the order changes the work, never the result. Candidates that sizes,
 positions and a few parities cannot rule out meet by sketches first, which grow with the sets and bound their difference
 from below, so no similar pair is lost; the pairs left are held against each other whole. Each list is linked
-to one of its members first; the last round compares what is still in different components, so a large group of near copies gives no square of links.
+to one of its members first, a long one to the most central members of its groups, two links a member at most; the last round
+compares what is still in different components, in long lists by finer sketches within the list's task, so a large group of near
+copies gives no square of pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from .simhash import SEED, fingerprint_links, majority, shingle_hashes
 
 #: Rows whose shingles are counted to find common ones, and in how many of them a common one is.
 SAMPLE, COMMON = 16384, 3
+#: Lists of more members are long: they are linked by groups, and finer sketches are held against each other before pairs are made.
+LONG = 32
+#: Bits a shingle, at least, of sketches and of those for long lists.
+COARSE, FINE = 2, 8
 #: Components are found so often: after the SimHash links, and after each round that links lists to one member.
 ROUNDS = 2
 
@@ -47,10 +53,10 @@ def parity(h: np.ndarray) -> tuple[int, ...]:
     return tuple(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """Parities of a set by the low bits of its hashes: a power of two of bits, over twice the set's size. Two sets differ in as many
+def sketch(h: np.ndarray, per: int = COARSE) -> bytes:
+    """Parities of a set by the low bits of its hashes: a power of two of bits, over per times the set's size. Two sets differ in as many
     members at least as their sketches, folded to one length, differ in bits."""
-    m = 1 << max(8, (2 * len(h)).bit_length())
+    m = 1 << max(8, (per * len(h)).bit_length())
     bits = np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -87,11 +93,11 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
-    """Replaces the last column, the text, by the set's hash, its size, the fingerprint, parities, sketch and the first shingles in the order."""
+    """Replaces the last column, the text, by the set's hash, its size, the fingerprint, parities, sketches and the first shingles in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, fps, marks, sketches, first = [], [], [], [], [], []
+            ids, sizes, fps, marks, sketches, fine, first = [], [], [], [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 h = shingle_hashes(text, shingle)
                 fps.append(majority(h))
@@ -100,22 +106,24 @@ def _prefixes(shingle: int, common: np.ndarray, counts: np.ndarray):
                 sizes.append(len(h))
                 marks.append(parity(h))
                 sketches.append(sketch(h))
+                fine.append(sketch(h, FINE))
                 p = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
                 first.append(h[:p].view(np.int64))
-            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(4)], pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", *BITS, "_sketch", "_first"])
+            arrays = [*batch.columns[:-1], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(4)], pa.array(sketches, pa.binary()), pa.array(fine, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "_s", "_n", "_fp", *BITS, "_sketch", "_fine", "_first"])
 
     return run
 
 
 def _bucket_pairs(how: str):
-    """From rows (_h, _n, _at, _s, _root and the parities) sorted by _h and _n: pairs that sizes, positions and parities allow. "star" and
-    a number: those with one member of the bucket; "rest": those of different roots."""
+    """From rows (_h, _n, _at, _s, _root, the parities and perhaps _fine) sorted by _h and _n: pairs that sizes, positions, parities and
+    fine sketches allow. "star" and a number: those with one member of the bucket, in long ones those of a forest; "rest": those of
+    different roots."""
 
-    def solve(n: np.ndarray, at: np.ndarray, s: np.ndarray, root: np.ndarray, bits: np.ndarray):
+    def solve(n: np.ndarray, at: np.ndarray, s: np.ndarray, root: np.ndarray, bits: np.ndarray, fine: np.ndarray | None):
         a, b = [], []
         rest = n - at - 1
         last = np.searchsorted(n, 5 * n // 4, "right")  # sizes ascend
@@ -126,15 +134,47 @@ def _bucket_pairs(how: str):
             apart = np.bitwise_count((bits[near] ^ bits[i]).view(np.uint64)).sum(1, dtype=np.int64)
             return near[9 * apart <= n[i] + n[near]]
 
+        def forest(order: np.ndarray):
+            # who is not reached yet names the most central of those near it, which reaches all near that one; what has also come near
+            # a member reached before is linked to the nearest such, so a member is in two links at most besides those of a centre
+            first = np.searchsorted(n, (4 * n + 4) // 5)
+            reached = np.zeros(len(n), bool)
+            for i in order:
+                if reached[i]:
+                    continue
+                near = fits(i, first[i], last[i])
+                old, new = near[reached[near]], near[~reached[near]]
+                links = []
+                if len(old):
+                    links.append((i, old[[np.bitwise_count((bits[old] ^ bits[i]).view(np.uint64)).sum(1, dtype=np.int64).argmin()]]))
+                if len(new):
+                    each = np.unpackbits(bits[new].view(np.uint8), axis=1)
+                    centre = new[(each ^ (2 * each.sum(0, dtype=np.int64) > len(new))).sum(1).argmin()]
+                    hit = fits(centre, first[centre], last[centre])
+                    hit = hit[~reached[hit]]
+                    links.append((centre, hit))
+                    reached[hit] = reached[centre] = True
+                reached[i] = True
+                for x, to in links:
+                    to = to[root[to] != root[x]]
+                    a.append(np.full(len(to), s[x]))
+                    b.append(s[to])
+            return np.concatenate(a or [s[:0]]), np.concatenate(b or [s[:0]])
+
         if how.startswith("star"):
             # the least of the round's order: lists of much the same sets choose the same one, so that their pairs fall together
-            i = int(np.argmin((s ^ np.int64(int(how[4:]) * 0x1E3779B97F4A7C15 & (1 << 63) - 1)) * np.int64(0x2545F4914F6CDD1D)))
+            by = (s ^ np.int64(int(how[4:]) * 0x1E3779B97F4A7C15 & (1 << 63) - 1)) * np.int64(0x2545F4914F6CDD1D)
+            if len(n) > LONG:
+                return forest(np.argsort(by, kind="stable"))
+            i = int(np.argmin(by))
             hit = fits(i, 0, len(n))
             hit = hit[(hit != i) & (root[hit] != root[i])]
             return np.full(len(hit), s[i]), s[hit]
         for i in range(len(n) - 1):
             hit = fits(i, i + 1, last[i])
             hit = hit[root[hit] != root[i]]
+            if fine is not None:
+                hit = hit[[_may_be_similar(n[i], fine[i], n[j], fine[j]) for j in hit]] if len(hit) else hit
             if len(hit):
                 a.append(np.full(len(hit), s[i]))
                 b.append(s[hit])
@@ -142,30 +182,31 @@ def _bucket_pairs(how: str):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(a), np.concatenate(b)
 
-    def buckets(h, n, at, s, root, *bits):
-        bits = np.stack(bits, 1)
+    def buckets(h, n, at, s, root, *more):
+        bits, fine = np.stack(more[: len(BITS)], 1), more[len(BITS) :]
         bounds = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1, [len(h)]])
-        out = [solve(n[x:y], at[x:y], s[x:y], root[x:y], bits[x:y]) for x, y in zip(bounds, bounds[1:]) if y > x + 1]
+        out = [solve(n[x:y], at[x:y], s[x:y], root[x:y], bits[x:y], fine[0][x:y] if fine else None) for x, y in zip(bounds, bounds[1:]) if y > x + 1]
         a, b = (np.concatenate([np.zeros(0, np.int64), *p]) for p in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 9
+        held = None
         for batch in batches:
-            held = [np.concatenate([x, c.to_numpy().astype(np.int64)]) for x, c in zip(held, batch.columns)]
+            new = [np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) else c.to_numpy().astype(np.int64) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
             open_ = np.nonzero(held[0] != held[0][-1])[0] if len(held[0]) else np.zeros(0, int)
             if open_.size:
                 end = open_[-1] + 1
                 yield buckets(*[x[:end] for x in held])
                 held = [x[end:] for x in held]
-        if len(held[0]):
+        if held and len(held[0]):
             yield buckets(*held)
 
     return run
 
 
 def _pairs(listed: DataFrame, how: str) -> DataFrame:
-    dealt = listed.repartition("_h").sortWithinPartitions("_h", "_n", "_s").select("_h", "_n", "_at", "_s", "_root", *BITS)
+    dealt = listed.repartition("_h").sortWithinPartitions("_h", "_n", "_s").select("_h", "_n", "_at", "_s", "_root", *BITS, *[c for c in listed.columns if c == "_fine"])
     return dealt.mapInArrow(_bucket_pairs(how), "a long, b long").distinct()
 
 
@@ -232,17 +273,17 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *[k.alias(n) for n, k in keys.items()])
     texts = docs.select(*[k.alias(n) for n, k in keys.items()], F.col(id_col).isNull().alias("_null"), F.col(id_col).alias("_id"), F.md5(whole_text(text_col)).alias("_md5"), whole_text(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = ("_n", "_fp", *BITS, "_sketch")
+    marks = ("_n", "_fp", *BITS, "_sketch", "_fine")
     first = texts.select("_null", "_id", "_md5", "_k1", "_k2", "_text").mapInArrow(
         _prefixes(shingle, *_common(texts, shingle)),
-        f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _p0 long, _p1 long, _p2 long, _p3 long, _sketch binary, _first array<bigint>",
+        f"_null boolean, _id {kind}, _md5 string, _k1 long, _k2 long, _s long, _n int, _fp long, _p0 long, _p1 long, _p2 long, _p3 long, _sketch binary, _fine binary, _first array<bigint>",
     )
     order = ("_null", "_id", "_md5", "_k1", "_k2")
     each = written(first.groupBy("_s").agg(F.min(F.struct(*order, *marks, "_first")).alias("w")).select("_s", "w.*"), "shingles")
     # shingles of one set alone go before anything wide is joined
-    alone = F.count(F.lit(1)).over(W.partitionBy("_h")) == 1
-    shared = each.select("_s", F.posexplode("_first").alias("_at", "_h")).select("_h", "_s", "_at", alone.alias("_alone")).where("not _alone").drop("_alone")
-    listed = written(shared.join(each.select("_s", "_n", *BITS), "_s").select("_h", "_n", "_at", "_s", *BITS), "shingles")
+    of = F.count(F.lit(1)).over(W.partitionBy("_h"))
+    shared = each.select("_s", F.posexplode("_first").alias("_at", "_h")).select("_h", "_s", "_at", of.alias("_of")).where("_of > 1")
+    listed = written(shared.join(each.select("_s", "_n", *BITS), "_s").select("_h", (F.col("_of") > LONG).alias("_long"), "_n", "_at", "_s", *BITS), "shingles")
     near = _similar_pairs(_simhash_pairs(each), each, texts, shingle)
     for at in range(ROUNDS):
         roots = written(components(near), "shingles")
@@ -252,11 +293,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             more = written(near.unionByName(found), "shingles")
             discard(near, roots, found)
             near = more
-    rest = _similar_pairs(_pairs(rooted, "rest"), each, texts, shingle)
+    long = rooted.where("_long").join(each.select("_s", "_fine"), "_s")
+    rest = _similar_pairs(_pairs(rooted.where("not _long"), "rest").unionByName(_pairs(long, "rest")), each, texts, shingle)
     # the largest tables go as soon as nothing reads them
     discard(listed, roots)
     roots = written(components(near.unionByName(rest)), "shingles")
-    named = each.drop("_first", "_sketch").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
+    named = each.drop("_first", "_sketch", "_fine").join(roots, each["_s"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_s"))
     kept = written(named.groupBy("_root").agg(F.min(F.struct(*order)).alias("w")).select("w._k1", "w._k2"), "shingles")
     discard(each, near, rest, roots)
     alike = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy(F.lit(0)))

@@ -357,6 +357,54 @@ def test_near_duplicate_stage_reaches_four_fifths(spark, monkeypatch):
         assert sorted((x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicate_removal(spark, df, "").collect()) == want
 
 
+@pytest.mark.parametrize("most", [3, 6])
+def test_near_duplicate_stage_pairs_grow_with_the_group(spark, monkeypatch, most):
+    """A large group of near copies of one text, some of them out of reach: pairs made in a few times its size, not in its square. Even
+    without the links of fingerprints, which vary between runs."""
+    from assayer.llm import jaccard
+
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for i in range(400):
+        copy = list(base)
+        for at in r.sample(range(150), r.randrange(1, most + 1)):
+            copy[at] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    made, similar_pairs = [], jaccard._similar_pairs
+
+    def counted(pairs, *rest):
+        made.append(pairs.distinct().count())
+        return similar_pairs(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_similar_pairs", counted)
+    monkeypatch.setattr(jaccard, "_simhash_pairs", lambda each: each.limit(0).select(F.col("_s").alias("a"), F.col("_s").alias("b")))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted((x["doc_id"], x["text"]) for x in jaccard.one_per_group(df).collect()) == near_groups(docs)
+    assert sum(made) < 6 * len(docs)
+
+
+@pytest.mark.parametrize("long", [2, 32])
+def test_near_duplicate_stage_long_lists_of_several_groups(spark, monkeypatch, long):
+    """Lists that several groups of near copies share, as all hold one passage, whatever the length from which a list is long."""
+    from assayer.llm import jaccard
+
+    r = random.Random(14)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage, docs = [word() for _ in range(30)], [(0, None), (1, ""), (2, "one")]
+    for _ in range(12):
+        base = passage + [word() for _ in range(r.randrange(20, 110))]
+        for _ in range(r.randrange(1, 14)):
+            copy = list(base)
+            for at in r.sample(range(len(base)), r.randrange(4)):
+                copy[at] = word()
+            docs.append((len(docs), " ".join(copy)))
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "COMMON", 10**6)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted((x["doc_id"], x["text"] or "") for x in jaccard.one_per_group(df).collect()) == [(i, t or "") for i, t in near_groups(docs)]
+
+
 def test_near_duplicate_stage_null_ids_and_repeated_rows(spark):
     import corpus_pipeline
 
